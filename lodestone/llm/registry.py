@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, sharding
+from . import license_scan, line_dedup, quality_rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +16,28 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op9_sharding": op9_sharding,
 }
 
@@ -76,7 +88,20 @@ marked AS (SELECT *, ({bits})::BIGINT AS failed FROM measured)
 SELECT *, failed & {base} <> 0 AS base_failed, failed & {base | policy} = 0 AS kept FROM marked"""
 
 
+LINES_SQL = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (
+  SELECT r, i, l[i] AS line,
+    translate(regexp_replace(regexp_replace(l[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM docs, unnest(range(1, len(l) + 1)) AS u(i)),
+gone AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM lines WHERE k NOT IN (SELECT k FROM gone) GROUP BY r)
+SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)"""
+
 ORACLE_SQL = {
     "op1_license_scan": _license_sql(),
     "op4_quality_rules": _quality_sql(),
+    "op7_line_dedup": LINES_SQL,
 }
