@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, quality_rules, sharding, simhash
+from . import license_scan, line_dedup, pieces, quality_rules, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+#: A public byte-pair model; any SentencePiece model file will do.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    model = pieces.load(model_path)
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SEPARATOR), F.lit(" "))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -38,6 +49,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
 }
 
