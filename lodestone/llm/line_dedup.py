@@ -40,11 +40,12 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 class Bloom:
     """A filter of 64-bit hashes with two bits for each."""
 
-    def __init__(self, bits: int) -> None:
+    def __init__(self, bits: int, shift: int = 23) -> None:
+        self.shift = np.uint64(shift)
         self.mask, self.bytes = np.uint64(bits - 1), np.zeros(bits // 8, dtype=np.uint8)
 
     def _at(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for p in (h & self.mask, (h >> np.uint64(23)) & self.mask):
+        for p in (h & self.mask, (h >> self.shift) & self.mask):
             yield p >> np.uint64(3), np.left_shift(1, p & np.uint64(7)).astype(np.uint8)
 
     def has(self, h: np.ndarray) -> np.ndarray:
