@@ -27,10 +27,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, once."""
-    groups = simhash.near_duplicates(docs).filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest doc_id, once.
+
+    Rows without doc_id are told apart by their text and give way to those that have one.
+    """
+    high = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn("__row", F.coalesce("doc_id", high))
+    groups = simhash.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"))
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    return named.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
