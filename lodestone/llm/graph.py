@@ -23,7 +23,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v")
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("x"), "m").unionByName(lows.select(F.col("u").alias("x"), "m"))
         edges = materialise(small.filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
@@ -63,8 +63,12 @@ def _masks(limit: int, keep: int) -> list[int]:
     return [_signed(sum(c)) for c in combinations(block, keep)]
 
 
-def _balls(radius: int) -> list[int]:
-    return [_signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(BITS), r)]
+def _ball(fp: Column, radius: int) -> Column:
+    """All values within ``radius`` bits of ``fp``."""
+    ball = F.array(fp)
+    for _ in range(radius):
+        ball = F.array_distinct(F.flatten(F.transform(ball, lambda x: F.array_append(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), x))))
+    return ball
 
 
 def links(nodes: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -> DataFrame:
@@ -84,10 +88,9 @@ def links(nodes: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -
     near = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)
     # two fingerprints are within the limit if and only if a value within half of it of both exists
     many = placed.join(crowds, ["choice", "bits"], "left_semi").select("fp").distinct()
-    ball = F.lit(_balls(limit // 2)) if limit % 2 == 0 else None
-    if ball is None:
+    if limit % 2:
         raise ValueError("limit must be even")
-    mids = many.select("fp", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("fp")))).alias("mid"))
+    mids = many.select("fp", F.explode(_ball(F.col("fp"), limit // 2)).alias("mid"))
     lows = mids.groupBy("mid").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "low")
     close = mids.join(lows, "mid").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     return near.unionByName(close)
