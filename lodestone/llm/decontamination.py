@@ -25,6 +25,8 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK, RANK, EXTRA = 32, 128, 8
 #: A word tells passages apart if it stands in this share of blocks at most; each item's rarest words always do.
 SHARE, RAREST = 0.005, 8
+#: Telling words that a candidate must share with the item.
+LEAST_SHARED = 2
 #: Items with fewer words can't be told from chance and never match.
 LEAST_WORDS, MOST_BENCHMARK_WORDS, ANSWER = 8, 2_000_000, 4
 ROWS = 256  # of a partial matrix that travel together
@@ -147,6 +149,18 @@ def _passages(y: np.ndarray) -> np.ndarray:
     return y + np.concatenate((y[1:], np.zeros((1, y.shape[1]))))
 
 
+def _unit(y: np.ndarray) -> np.ndarray:
+    return (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def _shared(p: np.ndarray, k: np.ndarray, ends: np.ndarray, ids: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """For each (passage, item): telling words of the passage's two blocks that the item has."""
+    size = ends[p + 2] - ends[p]
+    pair = np.repeat(np.arange(len(p)), size)
+    at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + ends[p][pair]
+    return np.bincount(pair, member[k[pair], ids[at]], minlength=len(p))
+
+
 def _total(hits: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
     """Sum a matrix that each task makes from its batches; parts of it are added up in two levels."""
 
@@ -245,21 +259,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, co
 
     g = _total(hits, gram, (rank, rank)) + (queries @ basis).T @ (queries @ basis)
     latent = basis @ np.linalg.eigh(g)[1][:, ::-1][:, : min(RANK, rank)]
-    targets = queries @ latent
-    targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
-    space = spark.sparkContext.broadcast((telling, weight, latent, targets, items))
+    targets = _unit(queries @ latent)
+    space = spark.sparkContext.broadcast((telling, weight, latent, targets, queries > 0, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        telling, weight, latent, targets, items = space.value
+        telling, weight, latent, targets, member, items = space.value
         for batch in (x for y in batches for x in _small(y)):
             b, out = Batch.of(batch, BLOCK), []
             keep = telling[b.ids]
-            alone = _sums(b.block[keep], latent, b.ids[keep], weight, b.blocks)
+            block, ids = b.block[keep], b.ids[keep]
+            alone = _sums(block, latent, ids, weight, b.blocks)
             both = _passages(alone)
             live = np.flatnonzero(np.abs(both).sum(axis=1) > 0)
-            near = np.maximum(*(y[live] / np.maximum(np.linalg.norm(y[live], axis=1, keepdims=True), 1e-12) @ targets.T for y in (alone, both)))
+            near = np.maximum(*(_unit(y[live]) @ targets.T for y in (alone, both)))
             p, k = np.nonzero(near >= cosine)
             near, p = near[p, k], live[p]
+            shared = _shared(p, k, np.searchsorted(block, np.arange(b.blocks + 2)), ids, member)
+            p, k, near = (x[shared >= LEAST_SHARED] for x in (p, k, near))
             row = np.searchsorted(b.first, p, side="right") - 1
             ends = np.searchsorted(b.row, np.arange(len(b.sizes) + 1))
             names, done = batch.column("doc_id"), set()
