@@ -11,6 +11,7 @@ merges over the same edges.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,14 +22,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialise, text_of
+from .common import let, materialise, partitions, text_of
 
 SEPARATOR = "▁"
 #: Distinct units whose encodings are broadcast; the rest are joined.
 MAX_UNITS = 4_000_000
 #: Boundaries that fit a 64-bit mask.
-MASK = 62
+MASK = 61
 SEED = 11
+#: Distinct units that a task of the first pass holds before it hands them on; units of the cache over the encodings.
+HELD = 100_000
+LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -48,10 +52,10 @@ class Model:
     @property
     def unit(self) -> str:
         """Where no piece mixes letters and other characters, units end between them too."""
-        mixed = any(len({c.isalpha() for c in p.lstrip(SEPARATOR)}) > 1 for p, _, _ in self.pieces)
+        mixed = any(len({bool(LETTER.match(c)) for c in p.lstrip(SEPARATOR)}) > 1 for p, _, _ in self.pieces)
         if any(SEPARATOR in p.lstrip(SEPARATOR) for p, _, _ in self.pieces):
             raise ValueError("a piece holds a separator after other characters")
-        rest = f"[^{SEPARATOR}]+" if mixed else rf"(?:[^\W\d_]+|(?:(?![^\W\d_])[^{SEPARATOR}])+)"
+        rest = f"[^{SEPARATOR}]+" if mixed else rf"(?:[^\W\d_]+|(?:[^\w{SEPARATOR}]|[\d_])+)"
         return f"{SEPARATOR}*{rest}|{SEPARATOR}+"
 
     def texts(self) -> list[bytes]:
@@ -92,9 +96,7 @@ def _bounds(b: Column, n: Column) -> Column:
 
 def _merge_mask(e: Column, n: Column) -> Column:
     """Boundaries left when adjacent symbols have been merged, best edge first; boundaries are bits of a long."""
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    wide = F.filter(e, lambda x: x["t"] - x["s"] >= 2)
-    marked = F.transform(wide, lambda x: F.struct((one(x["s"]) + one(x["t"])).alias("ends"), (one(x["t"]) - one(x["s"] + 1)).alias("inner")))
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
 
     def fold(m: Column) -> Column:
         def step(b: Column, _: Column) -> Column:
@@ -102,9 +104,9 @@ def _merge_mask(e: Column, n: Column) -> Column:
             return F.coalesce(b.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), b)
 
         rounds = F.sequence(F.lit(1), F.least(F.size(m), n - 1))
-        return F.when((F.size(m) == 0) | (n < 2), one(n + 1) - 1).otherwise(F.aggregate(rounds, one(n + 1) - 1, step))
+        return F.when((F.size(m) == 0) | (n < 2), every).otherwise(F.aggregate(rounds, every, step))
 
-    return let(let(marked, fold), lambda b: _bounds(b, n))
+    return let(let(F.filter(e, lambda x: x["t"] - x["s"] >= 2), fold), lambda b: _bounds(b, n))
 
 
 def _merge_long(e: Column, n: Column) -> Column:
@@ -148,11 +150,13 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     # bounded by the model file, whatever the corpus holds; the empty piece keeps units that match nothing else
     table = spark.createDataFrame([("", -1, 0.0), *((p, i, -s) for p, i, s in model.pieces)], "piece string, id int, cost double")
     n = F.length("unit")
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(model.longest), n - s + 1)), lambda k: F.struct((s - 1).alias("s"), (s - 1 + k).alias("t")))))
-    cut = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("t"))), cuts)).alias("x")
-    parts = units.select("unit", cut).select("unit", "x.s", "x.t", F.substring("unit", F.col("x.s") + 1, F.col("x.t") - F.col("x.s")).alias("piece"))
-    edge = F.struct("cost", "s", "t", "id")
+    begun = units.select("unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
+    parts = begun.select("unit", "s", size).select("unit", "s", (F.col("s") + F.col("k")).alias("t"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    fits = lambda c: F.when(F.col("t") <= MASK, c).otherwise(F.lit(0))
+    ends, inner = fits(one(F.col("s")) + one(F.col("t"))), fits(one(F.col("t")) - one(F.col("s") + 1))
+    edge = F.struct("cost", "s", "t", "id", ends.alias("ends"), inner.alias("inner"))
     lattice = parts.join(F.broadcast(table), "piece").groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     e = F.filter("edges", lambda x: x["id"] >= 0)
     if model.kind == "bpe":
@@ -177,33 +181,35 @@ def _units(text: str, model_prefix: bool, find) -> list[str]:
 
 
 class Encodings:
-    """Encodings of many units in three arrays, found by the units' 64-bit hashes; built so that no two units clash."""
+    """Encodings of many units in three arrays, sorted by the units' 64-bit hashes; no two of them clash."""
 
-    def __init__(self, hashes: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.order, self.ends, self.ids, self.known = hashes[order], order, ends, ids, {}
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
+        self.hashes, self.starts, self.ends, self.ids, self.known = hashes, starts, ends, ids, {}
 
     def fill(self, units: set[str]) -> None:
         """Look up what the cache lacks; a unit that isn't held gets None."""
-        if len(self.known) > 500_000:
+        if len(self.known) > HELD:
             self.known.clear()
         new = [u for u in units if u not in self.known]
+        if not len(self.hashes):
+            self.known.update(dict.fromkeys(new))
+            return
         h = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in new), dtype=np.uint64, count=len(new))
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(new), bool)
-        row = self.order[at] if len(self.hashes) else at
-        for u, ok, r in zip(new, hit.tolist(), row.tolist(), strict=True):
-            self.known[u] = self.ids[self.ends[r - 1] if r else 0 : self.ends[r]].tobytes() if ok else None
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        rows = zip(new, (self.hashes[at] == h).tolist(), self.starts[at].tolist(), self.ends[at].tolist(), strict=True)
+        self.known.update((u, self.ids[a:b].tobytes() if ok else None) for u, ok, a, b in rows)
 
 
-def _gather(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _gather(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     got = coded.select("unit", "ids").toArrow()
     hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for b in got["unit"].chunks for u in b.to_pylist()), dtype=np.uint64, count=got.num_rows)
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["ids"].chunks] or [np.zeros(0, np.int32)])
     ids = np.concatenate([c.flatten().to_numpy() for c in got["ids"].chunks] or [np.zeros(0, np.int32)]).astype(np.int32)
-    if len(np.unique(hashes)) < len(hashes):
+    order = np.argsort(hashes, kind="stable")
+    if len(order) and (np.diff(hashes[order]) == 0).any():
         raise ValueError("two units share a hash; choose another seed")
-    return hashes, np.cumsum(sizes), ids
+    ends = np.cumsum(sizes)
+    return hashes[order], (ends - sizes)[order].astype(np.uint32), ends[order].astype(np.uint32), ids
 
 
 def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFrame:
@@ -217,27 +223,38 @@ def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFra
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
+        seen: Counter[str] = Counter()
+        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
         for batch in batches:
-            seen: dict[str, int] = {}
-            for t in batch.column(0).to_pylist():
-                for u in _units(t, prefix, find):
-                    seen[u] = seen.get(u, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+            for lo in range(0, batch.num_rows, 200):
+                for t in batch.column(0).slice(lo, 200).to_pylist():
+                    seen.update(_units(t, prefix, find))
+                if len(seen) > HELD:
+                    yield hand_on()
+                    seen = Counter()
+        yield hand_on()
 
     texts = docs.select(text_of().alias("body"))
-    units = texts.mapInArrow(distinct, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    coded = materialise(encode_units(units, model))
+    counts = materialise(texts.mapInArrow(distinct, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
+    units = counts.select("unit").repartition(partitions(spark), "unit")
+    # a unit's few edges are gathered in memory: no sort of all edges by unit
+    threshold = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, str(1 << 20))
+    try:
+        coded = materialise(encode_units(units, model))
+    finally:
+        spark.conf.set(threshold, before)
     total = coded.count()
     if total > max_units:
-        counts = materialise(texts.mapInArrow(distinct, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
         often = counts.orderBy(F.desc("n"), "unit").limit(max_units).select("unit")
         held = spark.sparkContext.broadcast(_gather(coded.join(often, "unit")))
     else:
         held = spark.sparkContext.broadcast(_gather(coded))
 
-    def run(text: str, own: dict[str, bytes], cache: Encodings, find) -> np.ndarray:
+    def run(units: list[str], own: dict[str, bytes], cache: Encodings) -> np.ndarray:
         known = cache.known
-        parts = [known[u] if known[u] is not None else own[u] for u in _units(text, prefix, find)]
+        parts = [known[u] if known[u] is not None else own[u] for u in units] if own else [known[u] for u in units]
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     @F.arrow_udf("array<int>")
@@ -245,11 +262,11 @@ def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFra
         cache, find = Encodings(*held.value), re.compile(pattern).findall
         for body, rare in texts:
             got = []
-            for lo in range(0, len(body), 500):
-                some = body.slice(lo, 500).to_pylist()
-                cache.fill({u for t in some for u in _units(t, prefix, find)})
-                owns = [dict((r["unit"], np.array(r["ids"], np.int32).tobytes()) for r in x or ()) for x in rare.slice(lo, 500).to_pylist()]
-                got += [run(t, own, cache, find) for t, own in zip(some, owns, strict=True)]
+            for lo in range(0, len(body), 200):
+                some = [_units(t, prefix, find) for t in body.slice(lo, 200).to_pylist()]
+                cache.fill(set().union(*some))
+                owns = [dict((r["unit"], np.array(r["ids"], np.int32).tobytes()) for r in x or ()) for x in rare.slice(lo, 200).to_pylist()]
+                got += [run(units, own, cache) for units, own in zip(some, owns, strict=True)]
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, np.zeros(0, np.int32)])))
 
