@@ -10,13 +10,13 @@ merges over the same edges.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex as re
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +32,9 @@ MASK = 61
 SEED = 11
 #: Distinct units that a task of the first pass holds before it hands them on; units of the cache over the encodings.
 HELD = 100_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"\p{L}")
+#: Units of a task that folds lattices.
+UNITS = 30_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ class Model:
         mixed = any(len({bool(LETTER.match(c)) for c in p.lstrip(SEPARATOR)}) > 1 for p, _, _ in self.pieces)
         if any(SEPARATOR in p.lstrip(SEPARATOR) for p, _, _ in self.pieces):
             raise ValueError("a piece holds a separator after other characters")
-        rest = f"[^{SEPARATOR}]+" if mixed else rf"(?:[^\W\d_]+|(?:[^\w{SEPARATOR}]|[\d_])+)"
+        rest = f"[^{SEPARATOR}]+" if mixed else rf"(?:\p{{L}}+|[^\p{{L}}{SEPARATOR}]+)"
         return f"{SEPARATOR}*{rest}|{SEPARATOR}+"
 
     def texts(self) -> list[bytes]:
@@ -90,23 +92,38 @@ def _byte_ids(model: Model, c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), one)
 
 
-def _bounds(b: Column, n: Column) -> Column:
-    return F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", b, i) == 1)
+def _merge_mask(packed: Column, n: Column) -> Column:
+    """Boundaries left when adjacent symbols have been merged, best edge first; boundaries are bits of a long.
 
+    The fold's state is the boundaries and the edges whose ends both still are boundaries.
+    """
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    every = one(n + 1) - 1
 
-def _merge_mask(e: Column, n: Column) -> Column:
-    """Boundaries left when adjacent symbols have been merged, best edge first; boundaries are bits of a long."""
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+    def masks(x: Column) -> Column:
+        s, t = _start(x), _start(x) + _size(x)
+        return F.struct((one(s) + one(t)).alias("ends"), (one(t) - one(s + 1)).alias("inner"))
 
-    def fold(m: Column) -> Column:
-        def step(b: Column, _: Column) -> Column:
-            fits = F.filter(m, lambda x: (b.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(b.bitwiseAND(x["inner"])) == 1))
-            return F.coalesce(b.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), b)
+    def step(acc: Column, _: Column) -> Column:
+        def merge(live: Column) -> Column:
+            gone = F.get(F.filter(live, lambda x: F.bit_count(acc["b"].bitwiseAND(x["inner"])) == 1), F.lit(0))["inner"]
+            left = lambda g: F.struct(F.coalesce(acc["b"].bitwiseAND(F.bitwise_not(g)), acc["b"]).alias("b"), F.when(g.isNull(), F.slice(live, 1, 0)).otherwise(live).alias("m"))
+            return let(gone, left)
+
+        return F.when(F.size(acc["m"]) == 0, acc).otherwise(let(F.filter(acc["m"], lambda x: acc["b"].bitwiseAND(x["ends"]) == x["ends"]), merge))
+
+    marked = F.transform(F.filter(packed, lambda x: _size(x) >= 2), masks)
+    fold = lambda m: F.aggregate(F.sequence(F.lit(1), F.least(F.size(m), n - 1)), F.struct(every.alias("b"), m.alias("m")), step, lambda acc: acc["b"])
+    boundaries = let(marked, lambda m: F.when((F.size(m) == 0) | (n < 2), every).otherwise(fold(m)))
+    return let(boundaries, lambda b: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", b, i) == 1))
+
+
+def _start(x: Column) -> Column:
+    return F.shiftright(x, 26).bitwiseAND(F.lit(63)).cast("int")
 
-        rounds = F.sequence(F.lit(1), F.least(F.size(m), n - 1))
-        return F.when((F.size(m) == 0) | (n < 2), every).otherwise(F.aggregate(rounds, every, step))
 
-    return let(let(F.filter(e, lambda x: x["t"] - x["s"] >= 2), fold), lambda b: _bounds(b, n))
+def _size(x: Column) -> Column:
+    return F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")
 
 
 def _merge_long(e: Column, n: Column) -> Column:
@@ -144,36 +161,60 @@ def _viterbi(e: Column, n: Column, unknown: float) -> Column:
     return let(done, back)
 
 
-def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for a table of distinct units, which should be distributed by unit already."""
-    spark = units.sparkSession
-    # bounded by the model file, whatever the corpus holds; the empty piece keeps units that match nothing else
-    table = spark.createDataFrame([("", -1, 0.0), *((p, i, -s) for p, i, s in model.pieces)], "piece string, id int, cost double")
+def _substrings(units: DataFrame, longest: int) -> DataFrame:
+    """(unit, s, k, piece): every substring of bounded length k at place s, and the empty one at the end."""
     n = F.length("unit")
     begun = units.select("unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
-    size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
-    parts = begun.select("unit", "s", size).select("unit", "s", (F.col("s") + F.col("k")).alias("t"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    fits = lambda c: F.when(F.col("t") <= MASK, c).otherwise(F.lit(0))
-    ends, inner = fits(one(F.col("s")) + one(F.col("t"))), fits(one(F.col("t")) - one(F.col("s") + 1))
-    edge = F.struct("cost", "s", "t", "id", ends.alias("ends"), inner.alias("inner"))
-    lattice = parts.join(F.broadcast(table), "piece").groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
+    return begun.select("unit", "s", size).select("unit", "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+
+
+def _short(units: DataFrame, model: Model) -> DataFrame:
+    """Units of a byte-pair model whose boundaries fit a mask. An edge is one long: rank, place, length and id."""
+    scores = {s: i for i, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    # bounded by the model file, whatever the corpus holds; the empty piece keeps units that match nothing else
+    table = units.sparkSession.createDataFrame([("", 0), *((p, scores[s] << 32 | i) for p, i, s in model.pieces)], "piece string, code long")
+    place = F.shiftleft(F.col("s").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 20))
+    parts = _substrings(units, model.longest).join(F.broadcast(table), "piece").select("unit", F.col("code").bitwiseOR(place).alias("edge"))
+    lattice = parts.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("e"))
+
+    def ids(b: Column) -> Column:
+        def one(i: Column, end: Column) -> Column:
+            wanted = F.shiftleft(i.cast("long"), 26).bitwiseOR(F.shiftleft((end - i).cast("long"), 20))
+            same = lambda w: F.get(F.filter("e", lambda x: x.bitwiseAND(F.lit(0xFFF00000)) == w), F.lit(0))
+            return let(let(wanted, same), lambda x: F.when(x.isNotNull(), F.array(x.bitwiseAND(F.lit(0xFFFFF)).cast("int"))).otherwise(_byte_ids(model, F.substring("unit", i + 1, end - i))))
+
+        return F.flatten(F.transform(F.slice(b, 2, F.size(b) - 1), lambda end, i: one(F.get(b, i), end)))
+
+    return lattice.select("unit", let(_merge_mask(F.col("e"), F.length("unit")), ids).alias("ids"))
+
+
+def _general(units: DataFrame, model: Model) -> DataFrame:
+    """Units of any length, and those of unigram models; an edge is a struct."""
+    table = units.sparkSession.createDataFrame([("", -1, 0.0), *((p, i, -s) for p, i, s in model.pieces)], "piece string, id int, cost double")
+    n = F.length("unit")
+    parts = _substrings(units, model.longest).withColumn("t", F.col("s") + F.col("k"))
+    lattice = parts.join(F.broadcast(table), "piece").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("cost", "s", "t", "id"))).alias("edges"))
     e = F.filter("edges", lambda x: x["id"] >= 0)
-    if model.kind == "bpe":
-        bounds = F.when(n <= MASK, _merge_mask(F.col("e"), n)).otherwise(_merge_long(F.col("e"), n))
-    else:
-        bounds = _viterbi(F.col("e"), n, 10.0 - min(s for _, _, s in model.pieces))
+    bounds = _merge_long(F.col("e"), n) if model.kind == "bpe" else _viterbi(F.col("e"), n, 10.0 - min(s for _, _, s in model.pieces))
 
     def ids(b: Column) -> Column:
         of = lambda s, t: F.get(F.filter("e", lambda x: (x["s"] == s) & (x["t"] == t)), F.lit(0))["id"]
         pair = F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.struct(F.get(b, i - 1).alias("s"), F.get(b, i).alias("t")))
-        known = lambda x: F.coalesce(F.array(of(x["s"], x["t"])), F.array(F.lit(None).cast("int")))
-        one = lambda x: let(known(x), lambda k: F.when(F.get(k, F.lit(0)).isNotNull(), k).otherwise(_byte_ids(model, F.substring("unit", x["s"] + 1, x["t"] - x["s"]))))
+        one = lambda x: let(of(x["s"], x["t"]), lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(_byte_ids(model, F.substring("unit", x["s"] + 1, x["t"] - x["s"]))))
         return F.flatten(F.transform(pair, one))
 
     return lattice.select("unit", e.alias("e")).select("unit", let(bounds, ids).alias("ids"))
 
 
+def encode_units(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, ids) for a table of distinct units, which should be distributed by unit already."""
+    if model.kind != "bpe" or len(model.texts()) > 1 << 20:
+        return _general(units, model)
+    short = F.length("unit") <= MASK
+    return _short(units.filter(short), model).unionByName(_general(units.filter(~short), model))
+
+
 def _units(text: str, model_prefix: bool, find) -> list[str]:
     if not text:
         return []
@@ -236,7 +277,7 @@ def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFra
 
     texts = docs.select(text_of().alias("body"))
     counts = materialise(texts.mapInArrow(distinct, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
-    units = counts.select("unit").repartition(partitions(spark), "unit")
+    units = counts.select("unit").repartition(max(partitions(spark), -(-counts.count() // UNITS)), "unit")
     # a unit's few edges are gathered in memory: no sort of all edges by unit
     threshold = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(threshold)
