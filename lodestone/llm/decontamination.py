@@ -137,16 +137,16 @@ def _small(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 
 def _sums(block: np.ndarray, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray, blocks: int) -> np.ndarray:
     """The sum of weighted vectors in each block."""
-    out = np.zeros((blocks, vectors.shape[1]))
+    out = np.zeros((blocks, vectors.shape[1]), dtype=vectors.dtype)
     if len(block):
         starts = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[starts]] = np.add.reduceat(vectors[ids] * weight[ids][:, None], starts, axis=0)
+        out[block[starts]] = np.add.reduceat(vectors[ids] * weight[ids].astype(vectors.dtype)[:, None], starts, axis=0)
     return out
 
 
 def _passages(y: np.ndarray) -> np.ndarray:
     """Each block with the one after it; rows end in an empty block, so none reaches into the next row."""
-    return y + np.concatenate((y[1:], np.zeros((1, y.shape[1]))))
+    return y + np.concatenate((y[1:], np.zeros_like(y[:1])))
 
 
 def _unit(y: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, co
     g = _total(hits, gram, (rank, rank)) + (queries @ basis).T @ (queries @ basis)
     latent = basis @ np.linalg.eigh(g)[1][:, ::-1][:, : min(RANK, rank)]
     targets = _unit(queries @ latent)
-    space = spark.sparkContext.broadcast((telling, weight, latent, targets, queries > 0, items))
+    space = spark.sparkContext.broadcast((telling, weight, latent.astype(np.float32), targets, queries > 0, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         telling, weight, latent, targets, member, items = space.value
