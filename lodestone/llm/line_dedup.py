@@ -115,7 +115,7 @@ def _repeats(texts: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
         return texts.select("body", "doc_id").mapInArrow(run, pair)
 
     if n <= MAX_HASHES:
-        held = Bloom(min(SEGMENT_BITS, 1 << max(10, (16 * n).bit_length())))
+        held = Bloom(1 << max(10, (16 * n).bit_length()))
         held.add(suspects.toPandas()["hash"].to_numpy().view(np.uint64))
         found = candidates(held)
     else:
