@@ -20,10 +20,18 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Labelled rows that a model is fitted on, at most; and words that it weighs, at most.
-MAX_ROWS, MAX_WORDS = 4000, 2000
+MAX_ROWS, MAX_WORDS = 8000, 2000
+#: The largest bias: long clean texts, with thousands of sentences, must stay clean.
+BIAS = -9.0
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
 
 
+def terms(text: str) -> set[str]:
+    """What is weighed: words, and their first four and five letters where more follow."""
+    words = set(WORD.findall(text))
+    return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -42,7 +50,7 @@ class Model:
     words: dict[str, float]
 
     def sentence(self, s: str) -> float:
-        z = self.bias + sum(self.words.get(w, 0.0) for w in set(WORD.findall(s)))
+        z = self.bias + sum(self.words.get(w, 0.0) for w in terms(s))
         return float(1 / (1 + np.exp(-z)))
 
     def score(self, text: str) -> tuple[float, int | None, float]:
@@ -50,7 +58,7 @@ class Model:
         text = text.lower()
         parts = SENTENCE.split(text)
         base = float(1 / (1 + np.exp(-self.bias)))
-        if self.words.keys().isdisjoint(WORD.findall(text)):
+        if self.words.keys().isdisjoint(terms(text)):
             n = sum(1 for s in parts if s.strip())
             return 1 - (1 - base) ** max(1, n), None, base
         p = np.array([self.sentence(s) if s.strip() else 0.0 for s in parts])
@@ -61,26 +69,29 @@ def _candidates(rows: list[tuple[str, int]], max_words: int) -> list[str]:
     """Words that stand in more toxic documents than chance would have it; equal texts count once."""
     held = [Counter(), Counter()]
     for text, y in set(rows):
-        held[y].update(set(WORD.findall(text)))
+        held[y].update(terms(text))
     n = [max(1, sum(1 for _, y in set(rows) if y == k)) for k in (0, 1)]
     gain = {w: (c / n[1] - held[0][w] / n[0]) / np.sqrt(c / n[1] ** 2 + held[0][w] / n[0] ** 2) for w, c in held[1].items() if c >= 5}
     return [w for w, z in sorted(gain.items(), key=lambda x: (-x[1], x[0])) if z > 3][:max_words]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, rounds: int = 400, ridge: float = 2e-4) -> Model:
-    """Fit on a bounded sample of labelled rows. Without both classes in it, every score is near the toxic share."""
-    rows = sorted((r["text"].lower(), r["y"]) for r in labelled(docs, labels, "toxic", max_rows).toLocalIterator())
-    share = (sum(y for _, y in rows) + 0.01) / (len(rows) + 1)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+    """Fit on a bounded sample of labelled rows. Without words that tell the classes apart, every score is near zero."""
+    return train(sorted((r["text"].lower(), r["y"]) for r in labelled(docs, labels, "toxic", max_rows).toLocalIterator()), max_words)
+
+
+def train(rows: list[tuple[str, int]], max_words: int = MAX_WORDS, rounds: int = 800, ridge: float = 1e-5) -> Model:
+    """Gradient steps on the likelihood of the document labels."""
     words = _candidates(rows, max_words)
     if not words:
-        return Model(float(np.log(min(share, 0.5) / 2)), {})
+        return Model(BIAS, {})
     at = {w: i for i, w in enumerate(words)}
     doc, sent, word, n = [], [], [], 0  # a row of each sentence; plain sentences of a document share one, with a weight
     weight = []
     for d, (text, _) in enumerate(rows):
         plain = 0
         for s in SENTENCE.split(text):
-            own = {at[w] for w in WORD.findall(s) if w in at}
+            own = {at[w] for w in terms(s) if w in at}
             if own:
                 sent += [n] * len(own)
                 word += own
@@ -94,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words:
         n += 1
     doc, sent, word, weight = np.array(doc), np.array(sent), np.array(word), np.array(weight)
     y = np.array([y for _, y in rows], dtype=float)
-    theta = np.concatenate(([-7.0], np.zeros(len(words))))
+    theta = np.concatenate(([BIAS], np.zeros(len(words))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         z = theta[0] + np.bincount(sent, theta[1 + word], minlength=n)
@@ -105,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words:
         grad = np.concatenate(([pull.sum()], np.bincount(word, pull[sent], minlength=len(words)) + ridge * theta[1:]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        theta[0] = min(theta[0], -7.0)
+        theta[0] = min(theta[0], BIAS)
     return Model(float(theta[0]), {w: float(x) for w, x in zip(words, theta[1:], strict=True) if abs(x) > 0.05})
 
 
