@@ -21,6 +21,8 @@ from .common import text_of
 
 #: Labelled rows that a model is fitted on, at most; and words that it weighs, at most.
 MAX_ROWS, MAX_WORDS = 8000, 2000
+#: The least share of toxic documents among those that hold a word that is weighed.
+PURE = 0.5
 #: The largest bias: long clean texts, with thousands of sentences, must stay clean.
 BIAS = -9.0
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
@@ -71,7 +73,7 @@ def _candidates(rows: list[tuple[str, int]], max_words: int) -> list[str]:
     for text, y in set(rows):
         held[y].update(terms(text))
     n = [max(1, sum(1 for _, y in set(rows) if y == k)) for k in (0, 1)]
-    gain = {w: (c / n[1] - held[0][w] / n[0]) / np.sqrt(c / n[1] ** 2 + held[0][w] / n[0] ** 2) for w, c in held[1].items() if c >= 5}
+    gain = {w: (c / n[1] - held[0][w] / n[0]) / np.sqrt(c / n[1] ** 2 + held[0][w] / n[0] ** 2) for w, c in held[1].items() if c >= 5 and c >= PURE * (c + held[0][w])}
     return [w for w, z in sorted(gain.items(), key=lambda x: (-x[1], x[0])) if z > 3][:max_words]
 
 
