@@ -26,7 +26,7 @@ BLOCK, RANK, EXTRA = 32, 128, 8
 #: A word tells passages apart if it stands in this share of blocks at most; each item's rarest words always do.
 SHARE, RAREST = 0.005, 8
 #: Telling words that a candidate must share with the item.
-LEAST_SHARED = 2
+LEAST_SHARED = 3
 #: Items with fewer words can't be told from chance and never match.
 LEAST_WORDS, MOST_BENCHMARK_WORDS, ANSWER = 8, 2_000_000, 4
 ROWS = 256  # of a partial matrix that travel together
@@ -204,7 +204,7 @@ def _counts(hits: DataFrame, words: int) -> tuple[np.ndarray, int]:
     return n[:words], int(n[words])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, copy: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, copy: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
     """Return (doc_id, item_id, rule, overlap, cosine, first_word, last_word), one row for each document and item found.
 
     ``overlap`` is the share of the item's words found in order inside a span of at most twice its length: ``copy``
