@@ -10,7 +10,6 @@ merges over the same edges.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,9 +28,10 @@ SEPARATOR = "▁"
 MAX_UNITS = 4_000_000
 #: Boundaries that fit a 64-bit mask.
 MASK = 61
-SEED = 11
+SEED = 42
 #: Distinct units that a task of the first pass holds before it hands them on; units of the cache over the encodings.
-HELD = 100_000
+#: A unit's number is then how often it was handed on, which is enough to tell the frequent ones.
+HELD = 200_000
 LETTER = re.compile(r"\p{L}")
 #: Units of a task that folds lattices.
 UNITS = 30_000
@@ -222,35 +222,41 @@ def _units(text: str, model_prefix: bool, find) -> list[str]:
 
 
 class Encodings:
-    """Encodings of many units in three arrays, sorted by the units' 64-bit hashes; no two of them clash."""
+    """Encodings of many units: sorted 64-bit hashes, no two alike, and where each one's ids end."""
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
-        self.hashes, self.starts, self.ends, self.ids, self.known = hashes, starts, ends, ids, {}
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
+        self.hashes, self.ends, self.ids, self.known = hashes, ends, ids, {}
 
     def fill(self, units: set[str]) -> None:
         """Look up what the cache lacks; a unit that isn't held gets None."""
         if len(self.known) > HELD:
             self.known.clear()
-        new = [u for u in units if u not in self.known]
+        new = list(units.difference(self.known))
         if not len(self.hashes):
             self.known.update(dict.fromkeys(new))
             return
         h = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in new), dtype=np.uint64, count=len(new))
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        rows = zip(new, (self.hashes[at] == h).tolist(), self.starts[at].tolist(), self.ends[at].tolist(), strict=True)
+        starts = np.where(at > 0, self.ends[at - 1], 0)
+        rows = zip(new, (self.hashes[at] == h).tolist(), starts.tolist(), self.ends[at].tolist(), strict=True)
         self.known.update((u, self.ids[a:b].tobytes() if ok else None) for u, ok, a, b in rows)
 
 
-def _gather(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    got = coded.select("unit", "ids").toArrow()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for b in got["unit"].chunks for u in b.to_pylist()), dtype=np.uint64, count=got.num_rows)
+def _gather(coded: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All encodings, in order of the units' hashes."""
+    got = coded.select(F.xxhash64("unit").alias("h"), "ids").toArrow()
+    hashes = np.concatenate([c.to_numpy() for c in got["h"].chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["ids"].chunks] or [np.zeros(0, np.int32)])
-    ids = np.concatenate([c.flatten().to_numpy() for c in got["ids"].chunks] or [np.zeros(0, np.int32)]).astype(np.int32)
+    ids = np.concatenate([c.flatten().to_numpy().astype(kind) for c in got["ids"].chunks] or [np.zeros(0, kind)])
+    del got
     order = np.argsort(hashes, kind="stable")
-    if len(order) and (np.diff(hashes[order]) == 0).any():
-        raise ValueError("two units share a hash; choose another seed")
-    ends = np.cumsum(sizes)
-    return hashes[order], (ends - sizes)[order].astype(np.uint32), ends[order].astype(np.uint32), ids
+    hashes = hashes[order]
+    if len(order) and (np.diff(hashes) == 0).any():
+        raise ValueError("two units share a hash: lower max_units")
+    starts, put = np.cumsum(sizes) - sizes, sizes[order]
+    ends = np.cumsum(put)
+    at = np.arange(len(ids)) + np.repeat(starts[order] - (ends - put), put)
+    return hashes, ends.astype(np.uint32), ids[at]
 
 
 def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFrame:
@@ -261,18 +267,19 @@ def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFra
     """
     spark: SparkSession = docs.sparkSession
     pattern, prefix = model.unit, model.prefix
+    kind = np.uint16 if len(model.texts()) <= 1 << 16 else np.int32
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern).findall
-        seen: Counter[str] = Counter()
-        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+        seen: set[str] = set()
+        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.ones(len(seen), np.int64))], ["unit", "n"])
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 for t in batch.column(0).slice(lo, 200).to_pylist():
                     seen.update(_units(t, prefix, find))
                 if len(seen) > HELD:
                     yield hand_on()
-                    seen = Counter()
+                    seen = set()
         yield hand_on()
 
     texts = docs.select(text_of().alias("body"))
@@ -289,14 +296,14 @@ def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFra
     total = coded.count()
     if total > max_units:
         often = counts.orderBy(F.desc("n"), "unit").limit(max_units).select("unit")
-        held = spark.sparkContext.broadcast(_gather(coded.join(often, "unit")))
+        held = spark.sparkContext.broadcast(_gather(coded.join(often, "unit"), kind))
     else:
-        held = spark.sparkContext.broadcast(_gather(coded))
+        held = spark.sparkContext.broadcast(_gather(coded, kind))
 
     def run(units: list[str], own: dict[str, bytes], cache: Encodings) -> np.ndarray:
         known = cache.known
         parts = [known[u] if known[u] is not None else own[u] for u in units] if own else [known[u] for u in units]
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
+        return np.frombuffer(b"".join(parts), dtype=kind).astype(np.int32)
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -306,7 +313,7 @@ def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFra
             for lo in range(0, len(body), 200):
                 some = [_units(t, prefix, find) for t in body.slice(lo, 200).to_pylist()]
                 cache.fill(set().union(*some))
-                owns = [dict((r["unit"], np.array(r["ids"], np.int32).tobytes()) for r in x or ()) for x in rare.slice(lo, 200).to_pylist()]
+                owns = [dict((r["unit"], np.array(r["ids"], kind).tobytes()) for r in x or ()) for x in rare.slice(lo, 200).to_pylist()]
                 got += [run(units, own, cache) for units, own in zip(some, owns, strict=True)]
             ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, np.zeros(0, np.int32)])))
