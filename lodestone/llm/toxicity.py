@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, trained from document labels.
 
 A document is a bag of sentences. A sentence's score is a logistic function of the words in it, the document's is the
-chance that at least one sentence is toxic, and only the document's label is known in training. The sentence with the
+chance that at least one sentence is toxic, and only the document's label is known in training. Sentences without any
+weighed word say nothing, however many there are: a document has one base chance in their place. The sentence with the
 highest score is where the offence is.
 """
 
@@ -23,7 +24,7 @@ from .common import text_of
 MAX_ROWS, MAX_WORDS = 8000, 2000
 #: The least share of toxic documents among those that hold a word that is weighed.
 PURE = 0.5
-#: The largest bias: long clean texts, with thousands of sentences, must stay clean.
+#: The largest bias: in long clean texts, sentences with words of little weight must not add up.
 BIAS = -9.0
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W\d_]+")
 
@@ -52,19 +53,18 @@ class Model:
     words: dict[str, float]
 
     def sentence(self, s: str) -> float:
-        z = self.bias + sum(self.words.get(w, 0.0) for w in terms(s))
-        return float(1 / (1 + np.exp(-z)))
+        """A sentence's score; 0 without a weighed word."""
+        own = [self.words[w] for w in terms(s) if w in self.words]
+        return float(1 / (1 + np.exp(-self.bias - sum(own)))) if own else 0.0
 
     def score(self, text: str) -> tuple[float, int | None, float]:
         """The document's score, and the index and score of its worst sentence; None where no sentence has a word."""
         text = text.lower()
-        parts = SENTENCE.split(text)
         base = float(1 / (1 + np.exp(-self.bias)))
         if self.words.keys().isdisjoint(terms(text)):
-            n = sum(1 for s in parts if s.strip())
-            return 1 - (1 - base) ** max(1, n), None, base
-        p = np.array([self.sentence(s) if s.strip() else 0.0 for s in parts])
-        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(p.argmax()), float(p.max())
+            return base, None, base
+        p = np.array([self.sentence(s) for s in SENTENCE.split(text)])
+        return float(1 - (1 - base) * np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(p.argmax()), float(p.max())
 
 
 def _candidates(rows: list[tuple[str, int]], max_words: int) -> list[str]:
@@ -88,33 +88,27 @@ def train(rows: list[tuple[str, int]], max_words: int = MAX_WORDS, rounds: int =
     if not words:
         return Model(BIAS, {})
     at = {w: i for i, w in enumerate(words)}
-    doc, sent, word, n = [], [], [], 0  # a row of each sentence; plain sentences of a document share one, with a weight
-    weight = []
+    doc, sent, word, n = [], [], [], 0  # a row of each sentence with a word, and one of each document
     for d, (text, _) in enumerate(rows):
-        plain = 0
         for s in SENTENCE.split(text):
             own = {at[w] for w in terms(s) if w in at}
             if own:
                 sent += [n] * len(own)
                 word += own
                 doc.append(d)
-                weight.append(1.0)
                 n += 1
-            elif s.strip():
-                plain += 1
         doc.append(d)
-        weight.append(float(max(1, plain)))
         n += 1
-    doc, sent, word, weight = np.array(doc), np.array(sent), np.array(word), np.array(weight)
+    doc, sent, word = np.array(doc), np.array(sent), np.array(word)
     y = np.array([y for _, y in rows], dtype=float)
     theta = np.concatenate(([BIAS], np.zeros(len(words))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         z = theta[0] + np.bincount(sent, theta[1 + word], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        q = np.bincount(doc, weight * np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(rows))
+        q = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(rows))
         none = np.exp(q)
-        pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)[doc] * p * weight / len(rows)
+        pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)[doc] * p / len(rows)
         grad = np.concatenate(([pull.sum()], np.bincount(word, pull[sent], minlength=len(words)) + ridge * theta[1:]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -125,7 +119,7 @@ def train(rows: list[tuple[str, int]], max_words: int = MAX_WORDS, rounds: int =
 def score(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
     """Return ``docs`` with score, predicted (int), and sentence and offence: the worst sentence's number and text.
 
-    Null and empty texts score as one plain sentence. ``sentence`` counts pieces between sentence ends from 0;
+    Null and empty texts score as those without a weighed word. ``sentence`` counts pieces between sentence ends from 0;
     it and ``offence`` are null unless the document is predicted toxic. Repeated rows score alike; an empty table
     gives an empty result; input columns of these names are replaced.
     """

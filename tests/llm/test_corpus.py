@@ -307,6 +307,18 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(table, labels.filter("false")).count() == 602
 
 
+def test_toxicity_of_clean_texts_of_any_length(spark):
+    made, _, labels = labelled_corpus(spark)
+    model = toxicity.fit(spark.createDataFrame([(k, t) for k, t, *_ in made], "doc_id long, text string"), labels)
+    clean = [f"w{k % 97} w{k % 89} w{k % 83}" for k in range(50_000)]
+    texts = [". ".join(clean), "\n".join(clean), ". ".join([*clean[:30_000], "vile nasty", *clean[30_000:]])]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [(r["predicted"], r["sentence"]) for r in got] == [(0, None), (0, None), (1, 30_000)]
+    assert model.score(texts[0])[0] == model.score("w1 w2")[0] < 0.01
+    weighed = toxicity.Model(-9.0, {"vile": 12.0, "mild": -2.0})
+    assert weighed.score("w1. " * 50_000 + "mild.")[0] < 0.01 and weighed.score("w1. " * 50_000 + "vile.")[1] == 50_000
+
+
 def test_quality_on_held_out_rows(spark, empty):
     made, table, labels = labelled_corpus(spark)
     got = {r["doc_id"]: r for r in quality_model.quality(odd(table), labels).collect()}
