@@ -66,25 +66,53 @@ class Item:
         return out
 
     def verify(self, at: np.ndarray, words: np.ndarray, copy: float, paraphrase: float) -> tuple[float, str, int, int] | None:
-        """Share of the item found in order, the rule met, and first and last word of the tightest span."""
+        """Best share of the item found in order in a span of 2n words, the rule met, and where the found words begin and end."""
         n = len(self.words)
-        seq = words.tolist()
-        if not seq:
+        seq, where = [], []
+        for w, i in zip(words.tolist(), at.tolist(), strict=True):
+            if w in self.masks:
+                seq.append(w)
+                where.append(i)
+        if len(seq) < paraphrase * n or not seq:
             return None
-        ahead = lcs(self.masks, n, seq)
-        best = ahead[-1]
-        if best < paraphrase * n:
+        most = lcs(self.masks, n, seq)[-1]
+        if most < paraphrase * n:
             return None
-        end = ahead.index(best)
-        behind = lcs(self.back, n, seq[end::-1])
-        start = end - behind.index(best)
-        first, last = int(at[start]), int(at[end])
-        if last - first + 1 > 2 * n:
+        # every widest span, but for those that lie in the one before or can't have more words than the best so far
+        best, span = 0, None
+        held, until, z = 0, 0, 0  # the span that was looked at last: its words in order, its end
+        for a in range(len(seq)):
+            before = z
+            while z < len(seq) and where[z] - where[a] < 2 * n:
+                z += 1
+            limit = min(z - a, held + z - until)
+            if z == before or limit <= best or limit < paraphrase * n:
+                continue
+            held, until = lcs(self.masks, n, seq[a:z])[-1], z
+            if held > best and (held >= copy * n or held >= paraphrase * n and self._answered(seq[a:z])):
+                best, span = held, (a, z)
+                if best == most:
+                    break
+        if span is None:
             return None
-        if best >= copy * n:
-            return best / n, "copy", first, last
-        answered = lcs(self._masks(self.answer), len(self.answer), seq[start : end + 1])[-1] == len(self.answer)
-        return (best / n, "paraphrase", first, last) if answered else None
+        rule = "copy" if best >= copy * n else "paraphrase"
+        first, last = self._tight(seq, *span, best, rule == "paraphrase")
+        return best / n, rule, where[first], where[last]
+
+    def _answered(self, seq: list[int]) -> bool:
+        return lcs(self._masks(self.answer), len(self.answer), seq)[-1] == len(self.answer)
+
+    def _tight(self, seq: list[int], a: int, z: int, best: int, answered: bool) -> tuple[int, int]:
+        """The first end, and for it the last start, between which the same words (and the answer) are found."""
+        n, k = len(self.words), len(self.answer)
+        end = a + lcs(self.masks, n, seq[a:z]).index(best)
+        if answered:
+            end = max(end, a + lcs(self._masks(self.answer), k, seq[a:z]).index(k))
+        part = seq[a : end + 1][::-1]
+        start = end - lcs(self.back, n, part).index(best)
+        if answered:
+            start = min(start, end - lcs(self._masks(self.answer[::-1]), k, part).index(k))
+        return start, end
 
 
 def _hits(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -208,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
     """Return (doc_id, item_id, rule, overlap, cosine, first_word, last_word), one row for each document and item found.
 
     ``overlap`` is the share of the item's words found in order inside a span of at most twice its length: ``copy``
-    or more of them, or ``paraphrase`` or more with the item's answer among them. Null, empty and very short items
+    or more of them, or ``paraphrase`` or more with the item's answer in order in that span. Null, empty and very short items
     match nothing, nor do null and empty texts. Rows that share a doc_id give one row an item; rows without doc_id
     are searched and reported under null. Equal items are reported each. Only doc_id, item_id and text are read.
     """
@@ -283,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
                 d, item = int(row[j]), items[k[j]]
                 if (d, int(k[j])) in done:
                     continue
-                reach = -(-len(item.words) // BLOCK)
+                reach = -(-2 * len(item.words) // BLOCK)  # holds every span that meets the passage
                 lo, hi = ((int(p[j]) - int(b.first[d]) + e) * BLOCK for e in (-reach, 2 + reach))
                 at = b.at[ends[d] : ends[d + 1]]
                 a, z = np.searchsorted(at, (lo, hi))

@@ -263,6 +263,58 @@ def test_decontamination_recall_against_brute_force(spark, docs, empty):
     assert decontamination.contaminated(empty, benchmark).count() == 0 == decontamination.contaminated(table, benchmark.filter("false")).count()
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def plain_verify(item, text, copy, paraphrase):
+    """The best share over all spans of at most twice the item's length, by tables."""
+    n, best = len(item), 0
+    for lo in range(len(text)):
+        part = text[lo : lo + 2 * n]
+        found = plain_lcs(item, part)
+        if found >= copy * n or found >= paraphrase * n and plain_lcs(item[-4:], part) == 4:
+            best = max(best, found)
+    return (best / n, "copy" if best >= copy * n else "paraphrase") if best else None
+
+
+def test_verify_finds_the_best_span():
+    rng, kinds = random.Random(12), Counter()
+    for k in range(1500):
+        n = rng.randint(8, 14)
+        item = [rng.randrange(40) for _ in range(n)]
+        own = [x if rng.random() > 0.15 else 99 for x in item]
+        stray = [[rng.choice([99, 99, 99, *item]) for _ in range(rng.randint(0, 30))] for _ in range(3)]
+        cut = rng.randint(0, n)
+        text = stray[0] + own[:cut] + (stray[1] if k % 3 == 0 else []) + own[cut:] + stray[2]
+        at = np.flatnonzero([x != 99 for x in text])
+        got = decontamination.Item(0, item).verify(at, np.array(text)[at], 0.8, 0.6)
+        want = plain_verify(item, text, 0.8, 0.6)
+        assert (got and got[:2]) == want
+        if got:
+            part = text[got[2] : got[3] + 1]
+            assert len(part) <= 2 * n and plain_lcs(item, part) == round(got[0] * n)
+        kinds[want and want[1]] += 1
+    assert min(kinds[k] for k in ("copy", "paraphrase", None)) > 100
+
+
+def test_edited_copy_beside_a_stray_word(spark):
+    rng = random.Random(13)
+    item = [f"q{i}" for i in range(20)]
+    other = [prose(rng, 100, 3000) for _ in range(60)]
+    edited = {0: ["q0", *["pad"] * 40, "other", *item[1:]], 1: [*item[:-1], "other", *["pad"] * 40, "q19"], 2: ["q0", *["pad"] * 30, *item[1:19], *["pad"] * 30, "q19"]}
+    made = [(k, f"{t} {' '.join(edited.get(k, []))} {t}") for k, t in enumerate(other)]
+    benchmark = spark.createDataFrame([(7, " ".join(item)), (8, prose(rng, 20, 3000))], "item_id long, text string")
+    got = {r["doc_id"]: r["overlap"] for r in decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string"), benchmark).filter("item_id = 7").collect()}
+    assert got == {0: 0.95, 1: 0.95, 2: 0.9}
+
+
 def test_lcs_by_bits():
     rng = random.Random(3)
     for _ in range(200):
