@@ -29,12 +29,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, once.
 
-    Rows without doc_id are told apart by their text and give way to those that have one.
+    A row is named by its doc_id and text together. Rows without doc_id give way to those that have one.
     """
-    high = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn("__row", F.coalesce("doc_id", high))
+    named = docs.withColumn("__row", F.xxhash64("text", "doc_id"))
     groups = simhash.near_duplicates(named.select(F.col("__row").alias("doc_id"), "text"))
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    members = groups.select(F.col("doc_id").alias("__row"), "component_id").distinct().join(named.select("__row", "doc_id").distinct(), "__row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = members.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
     return named.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
 
 

@@ -329,6 +329,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; rows without doc_id go if one of them does."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__found")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item. A row is named by its doc_id and text together."""
+    named = docs.withColumn("__row", F.xxhash64(text_of(), F.col("doc_id").cast("long")))
+    found = contaminated(named.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct()
+    return named.join(found, "__row", "left_anti").select(*docs.columns)
