@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_of
 
 WORD = re.compile(r"[^\W_]+")
-#: Words of a block; a passage is two blocks, and items of up to four blocks are searched piece by piece.
+#: Words of a block; a passage is two blocks, and longer items are searched in pieces of two blocks, one at each block.
 BLOCK, RANK, EXTRA = 32, 128, 8
 #: A word tells passages apart if it stands in this share of blocks at most; each item's rarest words always do.
 SHARE, RAREST = 0.005, 8
@@ -177,6 +177,11 @@ def _passages(y: np.ndarray) -> np.ndarray:
     return y + np.concatenate((y[1:], np.zeros_like(y[:1])))
 
 
+def _places(n: int) -> range:
+    """Where the pieces of an item of n words begin."""
+    return range(0, max(1, n - BLOCK), BLOCK)
+
+
 def _unit(y: np.ndarray) -> np.ndarray:
     return (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -253,13 +258,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
     hits = materialise(_hits(docs, vocabulary))
     df, blocks = _counts(hits, len(vocabulary))
     telling = df <= SHARE * blocks
-    for x in items:
-        telling[sorted(set(x.words), key=lambda w: (df[w], w))[:RAREST]] = True
+    pieces = [(k, x.words[lo : lo + 2 * BLOCK]) for k, x in enumerate(items) for lo in _places(len(x.words))]
+    for _, ws in pieces:
+        telling[sorted(set(ws), key=lambda w: (df[w], w))[:RAREST]] = True
     weight = np.where(telling, np.log((1 + blocks) / (1 + df)), 0.0)
-    queries = np.zeros((len(items), len(vocabulary)))
-    for k, x in enumerate(items):
-        np.add.at(queries[k], x.words, weight[x.words])
-    # the range of A'A, from one pass; the items count as passages too
+    owner = np.array([k for k, _ in pieces])
+    own = np.concatenate([np.array(ws) for _, ws in pieces])
+    piece = np.repeat(np.arange(len(pieces)), [len(ws) for _, ws in pieces])
+    member = np.zeros((len(items), len(vocabulary)), dtype=bool)
+    member[owner[piece], own] = weight[own] > 0
+
+    def projected(vectors: np.ndarray) -> np.ndarray:
+        return _sums(piece, vectors, own, weight, len(pieces))
+
+    # the range of A'A, from one pass; the items' pieces count as passages too
     rank = min(RANK + EXTRA, len(vocabulary))
     random = np.random.default_rng(3).standard_normal((len(vocabulary), rank))
     held = spark.sparkContext.broadcast((telling, weight, random))
@@ -274,7 +286,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
         order = np.argsort(ids, kind="stable")
         return _sums(ids[order], t, block[order], np.ones(b.blocks), len(weight)) * weight[:, None]
 
-    z = _total(hits, sketch, random.shape) + queries.T @ (queries @ random)
+    order = np.argsort(own, kind="stable")
+    back = _sums(own[order], projected(random), piece[order], np.ones(len(pieces)), len(vocabulary)) * weight[:, None]
+    z = _total(hits, sketch, random.shape) + back
     basis = np.linalg.qr(z)[0]
     based = spark.sparkContext.broadcast(basis)
 
@@ -285,13 +299,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
         y = _passages(_sums(b.block[keep], based.value, b.ids[keep], weight, b.blocks))
         return y.T @ y
 
-    g = _total(hits, gram, (rank, rank)) + (queries @ basis).T @ (queries @ basis)
+    g = _total(hits, gram, (rank, rank)) + projected(basis).T @ projected(basis)
     latent = basis @ np.linalg.eigh(g)[1][:, ::-1][:, : min(RANK, rank)]
-    targets = _unit(queries @ latent)
-    space = spark.sparkContext.broadcast((telling, weight, latent.astype(np.float32), targets, queries > 0, items))
+    targets = _unit(projected(latent))
+    space = spark.sparkContext.broadcast((telling, weight, latent.astype(np.float32), targets, owner, member, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        telling, weight, latent, targets, member, items = space.value
+        telling, weight, latent, targets, owner, member, items = space.value
         for batch in (x for y in batches for x in _small(y)):
             b, out = Batch.of(batch, BLOCK), []
             keep = telling[b.ids]
@@ -301,16 +315,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
             live = np.flatnonzero(np.abs(both).sum(axis=1) > 0)
             near = np.maximum(*(_unit(y[live]) @ targets.T for y in (alone, both)))
             p, k = np.nonzero(near >= cosine)
-            near, p = near[p, k], live[p]
+            near, p, k = near[p, k], live[p], owner[k]
             shared = _shared(p, k, np.searchsorted(block, np.arange(b.blocks + 2)), ids, member)
             p, k, near = (x[shared >= LEAST_SHARED] for x in (p, k, near))
             row = np.searchsorted(b.first, p, side="right") - 1
             ends = np.searchsorted(b.row, np.arange(len(b.sizes) + 1))
-            names, done = batch.column("doc_id"), set()
+            names, done, seen = batch.column("doc_id"), set(), set()
             for j in np.lexsort((p, -near, k, row)).tolist():
                 d, item = int(row[j]), items[k[j]]
-                if (d, int(k[j])) in done:
+                if (d, int(k[j])) in done or (int(p[j]), int(k[j])) in seen:
                     continue
+                seen.add((int(p[j]), int(k[j])))
                 reach = -(-2 * len(item.words) // BLOCK)  # holds every span that meets the passage
                 lo, hi = ((int(p[j]) - int(b.first[d]) + e) * BLOCK for e in (-reach, 2 + reach))
                 at = b.at[ends[d] : ends[d + 1]]

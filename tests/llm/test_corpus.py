@@ -315,6 +315,27 @@ def test_edited_copy_beside_a_stray_word(spark):
     assert got == {0: 0.95, 1: 0.95, 2: 0.9}
 
 
+def test_long_items_are_searched_in_pieces(spark):
+    rng = random.Random(14)
+    items = [(k, prose(rng, n, 3000)) for k, n in enumerate((1, 32, 64, 65, 97, 200, 4000))]
+    edited = [w if rng.random() > 0.1 else "other" for w in items[6][1].split()]
+    made = [(k, f"{prose(rng, 45, 3000)} {t} {prose(rng, 45, 3000)}") for k, t in items] + [(7, f"{prose(rng, 300, 3000)} {' '.join(edited)}")]
+    made += [(10 + k, prose(rng, 300, 3000)) for k in range(60)]
+    found = decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in found.collect()}
+    assert got.keys() == {(k, k) for k in range(1, 7)} | {(7, 6)} and all(got[k, k] == 1 for k in range(1, 7))
+    for n in range(1, 400):
+        assert {i for lo in decontamination._places(n) for i in range(lo, lo + 64)} >= set(range(n))
+
+
+def test_copies_of_long_items_of_common_words(spark):
+    rng = random.Random(15)
+    items = [(k, prose(rng, 1300, 1500)) for k in range(6)]
+    made = [(k, f"{prose(rng, 45, 1500)} {t} {prose(rng, 45, 1500)}") for k, t in items] + [(10 + k, prose(rng, 300, 1500)) for k in range(60)]
+    found = decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["overlap"]) for r in found.collect()} == {(k, k, 1.0) for k in range(6)}
+
+
 def test_lcs_by_bits():
     rng = random.Random(3)
     for _ in range(200):
