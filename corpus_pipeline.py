@@ -60,7 +60,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: The learned, hashed and latent stages have no SQL; tests hold each against a brute-force version.
+#: The learned, hashed and latent stages have no SQL; tests hold each, and all in a row, against plain versions.
 ORACLE_SQL = None
 
 

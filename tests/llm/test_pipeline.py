@@ -61,3 +61,10 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, write(spark, tmp_path, made, items, labels)).collect()
     assert all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in got)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == plain_pipeline(made, items)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    _, items, labels = tables()
+    assert corpus_pipeline.run(spark, write(spark, tmp_path / "docs", [], items, labels)).count() == 0
+    made = [(1, "some words of a text"), (None, "others")]
+    assert corpus_pipeline.run(spark, write(spark, tmp_path / "rest", made, [], [])).count() == 2
