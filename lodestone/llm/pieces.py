@@ -1,40 +1,43 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Texts are cut into units across which no piece of the model reaches: a run of separators with the letters or with the
-other characters after it. Each distinct unit of the corpus is exploded into its substrings of bounded length, these
-are equi-joined to the piece table, and the edges found are grouped by unit again (units stay where they were, so the
-grouping moves no rows). A higher-order aggregate then folds each lattice: for a unigram model it is the Viterbi fold
-over positions; for a byte-pair model, whose encoding is defined by merge order and not by a best sum, it is a fold of
-merges over the same edges.
+other characters after it. Each distinct unit is exploded into its substrings of bounded length, these are equi-joined
+to the piece table, and the edges found are grouped by unit again. A higher-order aggregate then folds each lattice. For
+unigram models it is the Viterbi fold over positions. A byte-pair model's encoding is defined by merge order and not by a
+best sum: short units are folded by merges over the same edges, and for units of any length the Viterbi fold takes only
+edges that may follow each other, which leaves one path.
+
+Texts travel as numbers of units. The encodings of frequent units, bounded in number and length, are broadcast; all others
+are encoded where they fall and joined to their texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import regex as re
-import xxhash
+import zstandard
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, partitions, text_of
+from .common import let, materialise, text_of
 
 SEPARATOR = "▁"
-#: Distinct units whose encodings are broadcast; the rest are joined.
-MAX_UNITS = 4_000_000
-#: Boundaries that fit a 64-bit mask.
-MASK = 61
-SEED = 42
-#: Distinct units that a task of the first pass holds before it hands them on; units of the cache over the encodings.
-#: A unit's number is then how often it was handed on, which is enough to tell the frequent ones.
-HELD = 200_000
+#: Frequent units whose encodings are broadcast, their characters at most, and the share of rows that they are chosen from.
+FREQUENT, SHORT, SHARE = 250_000, 32, 16
+#: Distinct units that a task counts before it hands them on.
+HELD = 100_000
+#: Boundaries that fit a 64-bit mask; positions of a block of the fold; characters of a part of a long unit.
+MASK, BLOCK, PART = 61, 64, 256
+#: What a character without a piece costs more than the worst piece of a unigram model.
+UNKNOWN = 10.0
 LETTER = re.compile(r"\p{L}")
-#: Units of a task that folds lattices.
-UNITS = 30_000
 
 
 @dataclass(frozen=True)
@@ -92,6 +95,14 @@ def _byte_ids(model: Model, c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), one)
 
 
+def _start(x: Column) -> Column:
+    return F.shiftright(x, 26).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _size(x: Column) -> Column:
+    return F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")
+
+
 def _merge_mask(packed: Column, n: Column) -> Column:
     """Boundaries left when adjacent symbols have been merged, best edge first; boundaries are bits of a long.
 
@@ -118,97 +129,132 @@ def _merge_mask(packed: Column, n: Column) -> Column:
     return let(boundaries, lambda b: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", b, i) == 1))
 
 
-def _start(x: Column) -> Column:
-    return F.shiftright(x, 26).bitwiseAND(F.lit(63)).cast("int")
+def _lattice(units: DataFrame, model: Model) -> DataFrame:
+    """(unit, e): the edges of short units of a byte-pair model, best first. An edge is one long: rank, place, length, id."""
+    scores = {s: i for i, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    # bounded by the model file, whatever the corpus holds; the empty piece keeps units that match nothing else
+    table = units.sparkSession.createDataFrame([("", 0), *((p, scores[s] << 32 | i) for p, i, s in model.pieces)], "piece string, code long")
+    n = F.length("unit")
+    begun = units.select("unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
+    parts = begun.select("unit", "s", size).select("unit", "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    place = F.shiftleft(F.col("s").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 20))
+    edges = parts.join(F.broadcast(table), "piece").select("unit", F.col("code").bitwiseOR(place).alias("edge"))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("e"))
 
 
-def _size(x: Column) -> Column:
-    return F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")
+def _short(units: DataFrame, model: Model) -> DataFrame:
+    """Units of a byte-pair model whose boundaries fit a mask."""
 
+    def ids(b: Column) -> Column:
+        def one(i: Column, end: Column) -> Column:
+            wanted = F.shiftleft(i.cast("long"), 26).bitwiseOR(F.shiftleft((end - i).cast("long"), 20))
+            same = lambda w: F.get(F.filter("e", lambda x: x.bitwiseAND(F.lit(0xFFF00000)) == w), F.lit(0))
+            return let(let(wanted, same), lambda x: F.when(x.isNotNull(), F.array(x.bitwiseAND(F.lit(0xFFFFF)).cast("int"))).otherwise(_byte_ids(model, F.substring("unit", i + 1, end - i))))
 
-def _merge_long(e: Column, n: Column) -> Column:
-    """The same for units of any length; each boundary holds the next one, or -1 once it is gone."""
-    wide = F.filter(e, lambda x: x["t"] - x["s"] >= 2)
+        return F.flatten(F.transform(F.slice(b, 2, F.size(b) - 1), lambda end, i: one(F.get(b, i), end)))
 
-    def fold(m: Column) -> Column:
-        def step(nxt: Column, _: Column) -> Column:
-            fits = F.filter(m, lambda x: (F.get(nxt, x["s"]) > 0) & (F.get(nxt, F.get(nxt, x["s"])) == x["t"]))
+    return _lattice(units, model).select("unit", let(_merge_mask(F.col("e"), F.length("unit")), ids).alias("ids"))
 
-            def merged(best: Column) -> Column:
-                new = F.transform(nxt, lambda v, i: F.when(i == best["s"], best["t"]).when(i == F.get(nxt, best["s"]), -1).otherwise(v))
-                return F.when(best.isNull(), nxt).otherwise(new)
 
-            return let(F.get(fits, F.lit(0)), merged)
+def _long_edges(units: DataFrame, model: Model) -> DataFrame:
+    """(key, t, k, piece, id, cost): every edge that ends at t, with k characters; characters without a piece have id -1.
 
-        start = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.when(i <= n, i).otherwise(F.lit(0)).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), n - 1), start, step)
+    Units are cut into overlapping parts first, so that no substring is searched from the start of a long unit.
+    """
+    unknown = UNKNOWN - min((s for _, _, s in model.pieces), default=0.0)
+    table = units.sparkSession.createDataFrame([(p, i, -s if model.kind == "unigram" else 0.0) for p, i, s in model.pieces], "piece string, id int, cost double")
+    n, at = F.length("unit"), F.sequence(F.lit(0), F.length("unit") - 1, F.lit(PART))
+    cut = lambda i: F.struct(i.alias("at"), F.least(F.lit(PART), n - i).alias("own"), F.substring(F.col("unit"), i + 1, F.lit(PART + model.longest - 1)).alias("part"))
+    parts = units.select("key", F.inline(F.transform(at, cut)))
+    begun = parts.select("key", "at", "part", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("s"))
+    k = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("part") - F.col("s")))).alias("k")
+    pieces = begun.select("key", "at", "part", "s", k).select("key", (F.col("at") + F.col("s") + F.col("k")).alias("t"), "k", F.substring("part", F.col("s") + 1, F.col("k")).alias("piece"))
+    known = pieces.join(F.broadcast(table), "piece", "left").filter("id is not null or k = 1")
+    return known.select("key", "t", "k", "piece", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("cost", F.lit(unknown)).alias("cost"))
+
+
+def _followed(edges: DataFrame, model: Model) -> DataFrame:
+    """Edges with ``before``: the lengths, as bits, of the edges that may stand before them; 0 means the unit's start.
+
+    In a byte-pair encoding two neighbours are the encoding of the text of both, and a path of such neighbours is the
+    encoding of the whole. So distinct pairs of neighbouring pieces are encoded as short units.
+    """
+    ends = edges.select("key", F.col("t").alias("s"), F.col("piece").alias("a"))
+    starts = edges.withColumn("s", F.col("t") - F.col("k"))
+    pairs = starts.join(ends, ["key", "s"], "left").filter("a is not null or s = 0").withColumn("a", F.coalesce("a", F.lit("")))
+    texts = pairs.select("a", F.col("piece").alias("b")).distinct().withColumn("unit", F.concat("a", "b"))
+    cut = _lattice(texts.select("unit").distinct(), model).select("unit", _merge_mask(F.col("e"), F.length("unit")).alias("cut"))
+    apart = F.array_distinct(F.array(F.lit(0), F.length("a"), F.length("unit")))
+    valid = texts.join(cut, "unit").filter(F.col("cut") == apart).select("a", F.col("b").alias("piece"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("a"))
+    return pairs.join(valid, ["a", "piece"]).groupBy("key", "t", "k", "piece", "id", "cost").agg(F.bit_or(bit).alias("before"))
+
+
+def _viterbi(blocks: Column, longest: int) -> Column:
+    """The best edge into each position; blocks hold positions in order, each with the edges that end there.
+
+    One fold over blocks, and inside it one over positions. The state is a window of the last positions, so a step costs
+    the same in a unit of any length.
+    """
 
-    return let(let(wide, fold), lambda nxt: F.filter(F.sequence(F.lit(0), n), lambda i: F.get(nxt, i) >= 0))
+    def position(acc: Column, edges: Column) -> Column:
+        def reached(e: Column) -> Column:
+            old = F.get(acc, F.size(acc) - e["k"])
+            fits = (e["before"] == -1) | (F.call_function("shiftleft", F.lit(1).cast("long"), old["k"]).bitwiseAND(e["before"]) != 0)
+            return F.when(fits, F.struct((old["cost"] + e["cost"]).alias("cost"), e["k"].alias("k"), e["id"].alias("id"), e["raw"].alias("raw")))
 
+        return F.array_append(acc, F.array_min(F.transform(edges, reached)))
 
-def _viterbi(e: Column, n: Column, unknown: float) -> Column:
-    """Boundaries of the cheapest path: one fold forward over positions, one back along the starts it kept."""
+    def block(acc: Column, positions: Column) -> Column:
+        done = F.aggregate(positions, acc["window"], position)
 
-    def step(acc: Column, i: Column) -> Column:
-        into = F.transform(F.filter(e, lambda x: (x["t"] == i) & (x["s"] < i)), lambda x: F.struct((F.get(acc["cost"], x["s"]) + x["cost"]).alias("cost"), x["s"].alias("s")))
-        lone = F.struct((F.get(acc["cost"], i - 1) + F.lit(unknown)).alias("cost"), (i - 1).cast("int").alias("s"))
-        best = F.array_min(F.concat(into, F.when(F.exists(into, lambda x: x["s"] == i - 1), F.array().cast("array<struct<cost:double,s:int>>")).otherwise(F.array(lone))))
-        return let(best, lambda x: F.struct(F.array_append(acc["cost"], x["cost"]).alias("cost"), F.array_append(acc["start"], x["s"]).alias("start")))
+        def keep(rows: Column) -> Column:
+            new = F.slice(rows, F.size(acc["window"]) + 1, F.size(positions))
+            return F.struct(F.slice(rows, F.greatest(F.lit(1), F.size(rows) - longest + 1), longest).alias("window"), F.array_append(acc["out"], new).alias("out"))
 
-    zero = F.struct(F.array(F.lit(0.0)).alias("cost"), F.array(F.lit(0)).alias("start"))
-    done = F.aggregate(F.sequence(F.lit(1), n), zero, step)
-    back = lambda acc: F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda p, _: F.when(F.get(p, F.lit(0)) == 0, p).otherwise(F.array_prepend(p, F.get(acc["start"], F.get(p, F.lit(0))))))
-    return let(done, back)
+        return let(done, keep)
 
+    state = "struct<cost:double,k:int,id:int,raw:string>"
+    first = F.array(F.struct(F.lit(0.0), F.lit(0), F.lit(-1), F.lit(None).cast("string")).cast(state))
+    none = F.array().cast(f"array<array<{state}>>")
+    return F.aggregate(blocks, F.struct(first.alias("window"), none.alias("out")), block, lambda acc: F.flatten(acc["out"]))
 
-def _substrings(units: DataFrame, longest: int) -> DataFrame:
-    """(unit, s, k, piece): every substring of bounded length k at place s, and the empty one at the end."""
-    n = F.length("unit")
-    begun = units.select("unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
-    size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
-    return begun.select("unit", "s", size).select("unit", "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
 
+def _path(best: Column, n: Column) -> Column:
+    """The edges of the best path, from the end back to the start; collected in blocks, as they were made."""
 
-def _short(units: DataFrame, model: Model) -> DataFrame:
-    """Units of a byte-pair model whose boundaries fit a mask. An edge is one long: rank, place, length and id."""
-    scores = {s: i for i, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
-    # bounded by the model file, whatever the corpus holds; the empty piece keeps units that match nothing else
-    table = units.sparkSession.createDataFrame([("", 0), *((p, scores[s] << 32 | i) for p, i, s in model.pieces)], "piece string, code long")
-    place = F.shiftleft(F.col("s").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 20))
-    parts = _substrings(units, model.longest).join(F.broadcast(table), "piece").select("unit", F.col("code").bitwiseOR(place).alias("edge"))
-    lattice = parts.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("e"))
-
-    def ids(b: Column) -> Column:
-        def one(i: Column, end: Column) -> Column:
-            wanted = F.shiftleft(i.cast("long"), 26).bitwiseOR(F.shiftleft((end - i).cast("long"), 20))
-            same = lambda w: F.get(F.filter("e", lambda x: x.bitwiseAND(F.lit(0xFFF00000)) == w), F.lit(0))
-            return let(let(wanted, same), lambda x: F.when(x.isNotNull(), F.array(x.bitwiseAND(F.lit(0xFFFFF)).cast("int"))).otherwise(_byte_ids(model, F.substring("unit", i + 1, end - i))))
+    def step(acc: Column, _: Column) -> Column:
+        x = F.get(best, acc["at"] - 1)
+        return F.when(acc["at"] <= 0, acc).otherwise(F.struct((acc["at"] - x["k"]).alias("at"), F.array_append(acc["out"], F.struct(x["id"].alias("id"), x["raw"].alias("raw"))).alias("out")))
 
-        return F.flatten(F.transform(F.slice(b, 2, F.size(b) - 1), lambda end, i: one(F.get(b, i), end)))
+    def block(acc: Column, _: Column) -> Column:
+        fresh = F.struct(acc["at"].alias("at"), F.array().cast("array<struct<id:int,raw:string>>").alias("out"))
+        took = F.aggregate(F.sequence(F.lit(1), F.lit(BLOCK)), fresh, step)
+        return let(took, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
 
-    return lattice.select("unit", let(_merge_mask(F.col("e"), F.length("unit")), ids).alias("ids"))
+    begun = F.struct(n.alias("at"), F.array().cast("array<array<struct<id:int,raw:string>>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(n / BLOCK).cast("int")), begun, block, lambda acc: F.reverse(F.flatten(acc["out"])))
 
 
 def _general(units: DataFrame, model: Model) -> DataFrame:
-    """Units of any length, and those of unigram models; an edge is a struct."""
-    table = units.sparkSession.createDataFrame([("", -1, 0.0), *((p, i, -s) for p, i, s in model.pieces)], "piece string, id int, cost double")
-    n = F.length("unit")
-    parts = _substrings(units, model.longest).withColumn("t", F.col("s") + F.col("k"))
-    lattice = parts.join(F.broadcast(table), "piece").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("cost", "s", "t", "id"))).alias("edges"))
-    e = F.filter("edges", lambda x: x["id"] >= 0)
-    bounds = _merge_long(F.col("e"), n) if model.kind == "bpe" else _viterbi(F.col("e"), n, 10.0 - min(s for _, _, s in model.pieces))
-
-    def ids(b: Column) -> Column:
-        of = lambda s, t: F.get(F.filter("e", lambda x: (x["s"] == s) & (x["t"] == t)), F.lit(0))["id"]
-        pair = F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda i: F.struct(F.get(b, i - 1).alias("s"), F.get(b, i).alias("t")))
-        one = lambda x: let(of(x["s"], x["t"]), lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(_byte_ids(model, F.substring("unit", x["s"] + 1, x["t"] - x["s"]))))
-        return F.flatten(F.transform(pair, one))
-
-    return lattice.select("unit", e.alias("e")).select("unit", let(bounds, ids).alias("ids"))
+    """Units of any length, and those of unigram models, in time that grows in proportion to their length."""
+    if model.kind == "bpe" and 2 * model.longest > MASK:
+        raise ValueError(f"a piece of a byte-pair model has more than {MASK // 2} characters")
+    keyed = units.select(F.md5(F.encode("unit", "UTF-8")).alias("key"), "unit")
+    edges = _long_edges(keyed, model)
+    edges = _followed(edges, model) if model.kind == "bpe" else edges.withColumn("before", F.lit(-1).cast("long"))
+    raw = F.when(F.col("id") < 0, F.col("piece")).alias("raw")
+    into = edges.groupBy("key", "t").agg(F.collect_list(F.struct("cost", "k", "id", "before", raw)).alias("edges"))
+    blocks = into.groupBy("key", F.floor((F.col("t") - 1) / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("t", "edges"))).alias("x"))
+    lattice = blocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("b", F.col("x.edges").alias("x")))).alias("blocks"))
+    one = lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_byte_ids(model, x["raw"]))
+    path = let(_viterbi(F.col("blocks.x"), model.longest), lambda best: _path(best, F.size(best)))
+    return keyed.join(lattice.select("key", F.flatten(F.transform(path, one)).alias("ids")), "key").select("unit", "ids")
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for a table of distinct units, which should be distributed by unit already."""
+    """(unit, ids) for a table of distinct units, none of them empty."""
     if model.kind != "bpe" or len(model.texts()) > 1 << 20:
         return _general(units, model)
     short = F.length("unit") <= MASK
@@ -221,124 +267,120 @@ def _units(text: str, model_prefix: bool, find) -> list[str]:
     return find((SEPARATOR if model_prefix else "") + text.replace(" ", SEPARATOR))
 
 
-class Encodings:
-    """Encodings of many units: sorted 64-bit hashes, no two alike, and where each one's ids end."""
-
-    def __init__(self, hashes: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
-        self.hashes, self.ends, self.ids, self.known = hashes, ends, ids, {}
-
-    def fill(self, units: set[str]) -> None:
-        """Look up what the cache lacks; a unit that isn't held gets None."""
-        if len(self.known) > HELD:
-            self.known.clear()
-        new = list(units.difference(self.known))
-        if not len(self.hashes):
-            self.known.update(dict.fromkeys(new))
-            return
-        h = np.fromiter((xxhash.xxh64_intdigest(u.encode(), SEED) for u in new), dtype=np.uint64, count=len(new))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        starts = np.where(at > 0, self.ends[at - 1], 0)
-        rows = zip(new, (self.hashes[at] == h).tolist(), starts.tolist(), self.ends[at].tolist(), strict=True)
-        self.known.update((u, self.ids[a:b].tobytes() if ok else None) for u, ok, a, b in rows)
-
-
-def _gather(coded: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All encodings, in order of the units' hashes."""
-    got = coded.select(F.xxhash64("unit").alias("h"), "ids").toArrow()
-    hashes = np.concatenate([c.to_numpy() for c in got["h"].chunks] or [np.zeros(0, np.int64)]).view(np.uint64)
-    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["ids"].chunks] or [np.zeros(0, np.int32)])
-    ids = np.concatenate([c.flatten().to_numpy().astype(kind) for c in got["ids"].chunks] or [np.zeros(0, kind)])
-    del got
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    if len(order) and (np.diff(hashes) == 0).any():
-        raise ValueError("two units share a hash: lower max_units")
-    starts, put = np.cumsum(sizes) - sizes, sizes[order]
-    ends = np.cumsum(put)
-    at = np.arange(len(ids)) + np.repeat(starts[order] - (ends - put), put)
-    return hashes, ends.astype(np.uint32), ids[at]
-
-
-def encode(docs: DataFrame, model: Model, max_units: int = MAX_UNITS) -> DataFrame:
-    """Return ``docs`` with ``ids`` (array of int) added: the encoding of each whole text.
+def _slices(batch: pa.Array, rows: int = 200) -> Iterator[list]:
+    for lo in range(0, len(batch), rows):
+        yield batch.slice(lo, rows).to_pylist()
+
 
-    Null and empty texts have no ids. Repeated rows each get theirs; an empty table gives an empty result; an ``ids``
-    column of the input is replaced, and other columns pass through.
+def _frequent(docs: DataFrame, model: Model, most: int) -> list[tuple[str, list[int]]]:
+    """The most frequent short units of a share of the rows, with their encodings: ``most`` units of SHORT characters at most.
+
+    This only decides which encodings travel to the workers beforehand; every other unit of any row is encoded and joined.
     """
-    spark: SparkSession = docs.sparkSession
     pattern, prefix = model.unit, model.prefix
-    kind = np.uint16 if len(model.texts()) <= 1 << 16 else np.int32
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern).findall
-        seen: set[str] = set()
-        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(np.ones(len(seen), np.int64))], ["unit", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen = re.compile(pattern).findall, Counter()
+        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                for t in batch.column(0).slice(lo, 200).to_pylist():
+            for texts in _slices(batch.column(0)):
+                for t in texts:
                     seen.update(_units(t, prefix, find))
                 if len(seen) > HELD:
                     yield hand_on()
-                    seen = set()
+                    seen.clear()
         yield hand_on()
 
-    texts = docs.select(text_of().alias("body"))
-    counts = materialise(texts.mapInArrow(distinct, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")))
-    units = counts.select("unit").repartition(max(partitions(spark), -(-counts.count() // UNITS)), "unit")
-    # a unit's few edges are gathered in memory: no sort of all edges by unit
-    threshold = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(threshold)
-    spark.conf.set(threshold, str(1 << 20))
-    try:
-        coded = materialise(encode_units(units, model))
-    finally:
-        spark.conf.set(threshold, before)
-    total = coded.count()
-    if total > max_units:
-        often = counts.orderBy(F.desc("n"), "unit").limit(max_units).select("unit")
-        held = spark.sparkContext.broadcast(_gather(coded.join(often, "unit"), kind))
-    else:
-        held = spark.sparkContext.broadcast(_gather(coded, kind))
-
-    def run(units: list[str], own: dict[str, bytes], cache: Encodings) -> np.ndarray:
-        known = cache.known
-        parts = [known[u] if known[u] is not None else own[u] for u in units] if own else [known[u] for u in units]
-        return np.frombuffer(b"".join(parts), dtype=kind).astype(np.int32)
+    some = docs.select(text_of().alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(SHARE)) == 0)
+    counts = some.mapInArrow(count, "unit string, n long").filter(F.length("unit") <= SHORT).groupBy("unit").agg(F.sum("n").alias("n"))
+    often = materialise(counts.orderBy(F.desc("n"), "unit").limit(most).select("unit"))
+    return [(r["unit"], list(r["ids"])) for r in encode_units(often, model).collect()]
+
+
+class Known:
+    """Encodings of the frequent units as flat arrays: where each one starts, how many ids it has, and all ids."""
+
+    def __init__(self, coded: list[list[int]]) -> None:
+        self.sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.array([i for x in coded for i in x], dtype=np.int32)
+
+    def fill(self, codes: list[np.ndarray], rare: list[list[dict] | None]) -> pa.ListArray:
+        """Ids of texts: codes below the number of frequent units mean these, the others the text's own rare units."""
+        n, at, sizes, ids, put = len(self.sizes), [], [], [], []
+        base, total = len(self.ids), 0
+        for c, own in zip(codes, rare, strict=True):
+            put.append(np.where(c >= n, c + total, c))
+            own = sorted((x["slot"], x["ids"]) for x in own or ())
+            total += len(own)
+            sizes += [len(x) for _, x in own]
+            ids += [i for _, x in own for i in x]
+        own_sizes = np.array(sizes, dtype=np.int64)
+        at = np.concatenate((self.starts, base + np.cumsum(own_sizes) - own_sizes))
+        every, flat = np.concatenate((self.sizes, own_sizes)), np.concatenate((self.ids, np.array(ids, dtype=np.int32)))
+        code = np.concatenate([*put, np.zeros(0, np.int64)]).astype(np.int64)
+        count = every[code]
+        ends = np.cumsum(count)
+        places = np.arange(int(count.sum())) + np.repeat(at[code] - (ends - count), count)
+        rows = np.cumsum([0, *map(len, codes)])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[rows].astype(np.int32)), pa.array(flat[places]))
+
+
+def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: bool = True) -> DataFrame:
+    """Return ``docs`` with ``ids`` (array of int) added: the encoding of each whole text.
 
-    @F.arrow_udf("array<int>")
-    def ids_of(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        cache, find = Encodings(*held.value), re.compile(pattern).findall
-        for body, rare in texts:
-            got = []
-            for lo in range(0, len(body), 200):
-                some = [_units(t, prefix, find) for t in body.slice(lo, 200).to_pylist()]
-                cache.fill(set().union(*some))
-                owns = [dict((r["unit"], np.array(r["ids"], kind).tobytes()) for r in x or ()) for x in rare.slice(lo, 200).to_pylist()]
-                got += [run(units, own, cache) for units, own in zip(some, owns, strict=True)]
-            ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, np.zeros(0, np.int32)])))
-
-    base = docs.drop("ids")
-    if total <= max_units:
-        none = F.lit(None).cast("array<struct<unit:string,ids:array<int>>>")
-        return base.withColumn("ids", ids_of(text_of(), none))
-
-    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, find = Encodings(*held.value), re.compile(pattern).findall
+    Null and empty texts have no ids. Texts and units of any length are encoded, in time that grows in proportion to them.
+    Repeated rows each get theirs; an empty table gives an empty result; an ``ids`` column of the input is replaced,
+    and other columns pass through. Without ``keep_text`` the text itself is left out and never moves.
+    """
+    pattern, prefix = model.unit, model.prefix
+    known = _frequent(docs, model, frequent)
+    numbers = docs.sparkSession.sparkContext.broadcast([u for u, _ in known])
+    table = docs.sparkSession.sparkContext.broadcast(Known([x for _, x in known]))
+
+    @F.arrow_udf("struct<codes:binary,rare:array<string>>")
+    def number(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """Each text as numbers of frequent units, and its rare units, which are numbered on from there."""
+        find, get = re.compile(pattern).findall, {u: i for i, u in enumerate(numbers.value)}.get
+        first, pack = len(numbers.value), zstandard.ZstdCompressor(level=1).compress
+        for batch in texts:
+            codes, rare = [], []
+            for some in _slices(batch):
+                for t in some:
+                    units = _units(t, prefix, find)
+                    c = np.fromiter(map(get, units, repeat(-1)), dtype=np.int32, count=len(units))
+                    gaps, own = np.flatnonzero(c < 0), {}
+                    c[gaps] = [own.setdefault(units[i], first + len(own)) for i in gaps.tolist()]
+                    codes.append(pack(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
+                    rare.append(list(own))
+            yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["codes", "rare"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(_units(t, prefix, find))
-                cache.fill(own)
-                rare = [u for u in own if cache.known[u] is None]
-                keys += [k] * len(rare)
-                units += rare
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(units, pa.string())], ["__text", "unit"])
+            own = batch.column("__rare")
+            sizes = np.diff(own.offsets.to_numpy())
+            slot = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = np.repeat(batch.column("__row").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(slot.astype(np.int32)), own.flatten()], ["__row", "slot", "unit"])
 
-    once = docs.select(F.md5(F.encode(text_of(), "UTF-8")).alias("__text"), text_of().alias("body")).dropDuplicates(["__text"])
-    rare = once.mapInArrow(missing, "__text string, unit string").join(coded, "unit").groupBy("__text").agg(F.collect_list(F.struct("unit", "ids")).alias("__rare"))
-    keyed = base.withColumn("__text", F.md5(F.encode(text_of(), "UTF-8"))).join(rare, "__text", "left")
-    return keyed.withColumn("ids", ids_of(text_of(), F.col("__rare"))).drop("__text", "__rare")
+    @F.arrow_udf("array<int>")
+    def fill(codes: pa.Array, rare: pa.Array) -> pa.Array:
+        open_, out = zstandard.ZstdDecompressor().decompress, []
+        for some, own in zip(_slices(codes), _slices(rare), strict=True):
+            planes = [np.frombuffer(open_(x), np.uint8).reshape(4, -1) for x in some]
+            out.append(table.value.fill([np.ascontiguousarray(p.T).view(np.int32).reshape(-1) for p in planes], own))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+    names = [c for c in docs.columns if c != "ids" and (keep_text or c != "text")]
+    # rows are dealt by number, so that no text or copy of it crowds a task; both branches below read this one exchange
+    dealt = (
+        docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", number(text_of()))
+        .select(*names, "__row", F.col("__c.codes").alias("__codes"), F.col("__c.rare").alias("__rare")).repartition("__row")
+    )
+    wanted = dealt.mapInArrow(unpack, "__row long, slot int, unit string")
+    coded = encode_units(wanted.select("unit").distinct(), model)
+    found = wanted.join(coded, "unit").groupBy("__row").agg(F.collect_list(F.struct("slot", "ids")).alias("__found"))
+    return dealt.join(found, "__row", "left").select(*names, fill("__codes", "__found").alias("ids"))
 
 
 def decode(coded: DataFrame, model: Model) -> DataFrame:
@@ -355,3 +397,14 @@ def decode(coded: DataFrame, model: Model) -> DataFrame:
         return pa.array(out, pa.string())
 
     return coded.withColumn("decoded", text("ids"))
+
+
+def round_trip(docs: DataFrame, model: Model) -> DataFrame:
+    """Return doc_id, n_ids (long), ids, and round_trip: whether they decode to the text, with separators as spaces.
+
+    Only digests of the texts travel with the ids. Null texts count as empty ones, which decode to themselves.
+    """
+    plain = F.md5(F.encode(F.replace(text_of(), F.lit(SEPARATOR), F.lit(" ")), "UTF-8"))
+    coded = encode(docs.select("doc_id", "text", plain.alias("digest")), model, keep_text=False)
+    same = F.md5(F.encode("decoded", "UTF-8")) == F.col("digest")
+    return decode(coded, model).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))

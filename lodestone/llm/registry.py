@@ -49,10 +49,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    model = pieces.load(model_path)
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SEPARATOR), F.lit(" "))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    return pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(model_path))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

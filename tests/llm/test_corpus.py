@@ -435,14 +435,14 @@ def model():
     return pieces.load(MODEL)
 
 
-@pytest.mark.parametrize("most", [4_000_000, 20])
-def test_pieces_equal_the_reference_encoder(docs, empty, model, most):
+@pytest.mark.parametrize("frequent", [pieces.FREQUENT, 20])
+def test_pieces_equal_the_reference_encoder(docs, empty, model, frequent):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    extra = ["日本語 text", "é é ½ 🙂", " lead  and\ttabs \n", "▁sep", "<s> </s>", "x" * 130 + " " * 80]
-    table = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate([t for _, t, *_ in corpus() if t is None or len(t) < 2000] + extra)], "doc_id long, text string")
-    got = pieces.decode(pieces.encode(odd(table), model, most), model).select("text", "ids", "decoded").collect()
+    extra = ["日本語 text", "é é ½ 🙂", " lead  and\ttabs \n", "▁sep", "<s> </s>", "x" * 130 + " " * 80, "日本語" * 40, "🙂" * 100, "\x00a"]
+    table = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate([t for _, t, *_ in corpus()] + extra)], "doc_id long, text string")
+    got = pieces.decode(pieces.encode(odd(table), model, frequent), model).select("text", "ids", "decoded").collect()
     for r in got:
         text = r["text"] or ""
         assert list(r["ids"]) == sp.encode(text), text[:80]
@@ -450,6 +450,22 @@ def test_pieces_equal_the_reference_encoder(docs, empty, model, most):
     assert len(got) == table.count() and pieces.encode(empty, model).count() == 0
 
 
+def test_units_of_a_hundred_thousand_letters(spark, model):
+    import sentencepiece
+
+    rng = random.Random(16)
+    texts = ["a" * 100_000, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000))]
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert all(list(r["ids"]) == sp.encode(r["text"]) for r in got)
+
+
+def test_rows_are_coded_once(docs, model):
+    plan = pieces.encode(docs.select("doc_id", "text"), model, keep_text=False)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_viterbi_of_a_unigram_model(spark):
     rng = random.Random(7)
     table = [("▁", -3.0), ("a", -2.0), ("b", -2.5), ("c", -2.2), ("▁a", -3.1), ("ab", -2.9), ("bc", -3.3), ("abc", -4.4), ("ca", -2.7), ("▁ab", -4.0)]
