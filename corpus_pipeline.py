@@ -46,10 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of the whole text, and whether they decode to it."""
-    model = pieces.load(MODEL_PATH)
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SEPARATOR), F.lit(" "))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    return pieces.round_trip(docs, pieces.load(MODEL_PATH))
 
 
 STAGES = [
