@@ -1,7 +1,7 @@
 """Typed comparison: values of one class compare, values of different classes are unequal and unordered.
 
-Types are known when a query is built, so a comparison across classes folds to a constant and never becomes a cast.
-Nulls follow SQL: a comparison with null is null, and a filter drops the row.
+Types are known when a query is built, so a comparison across classes needs no value but whether it is null, and never
+becomes a cast. Nulls follow SQL: a comparison with null is null, and a filter drops the row.
 """
 
 from __future__ import annotations
@@ -60,9 +60,10 @@ def literal(value: object) -> Column:
 def compare(left: Column, left_type: T.DataType, op: str, right: Column, right_type: T.DataType) -> Column:
     """``left op right`` as a column; across classes only <> holds, and booleans have no order."""
     op, a, b = operator(op), class_of(left_type), class_of(right_type)
+    known = left.isNotNull() & right.isNotNull()
     if a != b:
-        return F.lit(op == "<>")
+        return F.when(known, F.lit(op == "<>"))
     if a == "bool" and op not in ("=", "<>"):
-        return F.lit(False)
+        return F.when(known, F.lit(False))
     made = {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}
     return made[op]

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.comparison import OPERATORS, compare, literal, operator, type_of
+from ..functions.comparison import compare, literal, operator, type_of
 
 
 @dataclass(frozen=True)
@@ -54,26 +54,6 @@ class Term:
         (a, x), (b, y) = self.left.column(schema), self.right.column(schema)
         return compare(a, x, self.op, b, y)
 
-    def fields(self) -> set[str]:
-        return {e.name.lower() for e in (self.left, self.right) if isinstance(e, Field)}
-
-    def applies_to(self, names: list[str]) -> bool:
-        return self.fields() <= {n.lower() for n in names}
-
-    def against_constant(self, name: str) -> tuple[str, object] | None:
-        """(operator, constant) with the field put on the left."""
-        if isinstance(self.left, Field) and isinstance(self.right, Const) and self.left.name == name:
-            return operator(self.op), self.right.value
-        if isinstance(self.right, Field) and isinstance(self.left, Const) and self.right.name == name:
-            return OPERATORS[operator(self.op)], self.left.value
-        return None
-
-    def same_as(self, name: str) -> str | None:
-        """The field that this one must equal."""
-        if operator(self.op) != "=" or not (isinstance(self.left, Field) and isinstance(self.right, Field)):
-            return None
-        return {self.left.name: self.right.name, self.right.name: self.left.name}.get(name)
-
     def __str__(self) -> str:
         return f"{self.left} {operator(self.op)} {self.right}"
 
@@ -90,32 +70,13 @@ class Predicate:
     def conjoin(self, other: Predicate) -> Predicate:
         return Predicate(self.terms + other.terms)
 
-    def part_for(self, names: list[str]) -> Predicate | None:
-        """The terms that one input can decide; None if there are none."""
-        own = tuple(t for t in self.terms if t.applies_to(names))
-        return Predicate(own) if own else None
-
-    def part_between(self, left: list[str], right: list[str]) -> Predicate | None:
-        """The terms that need both inputs; None if there are none."""
-        own = tuple(t for t in self.terms if not t.applies_to(left) and not t.applies_to(right) and t.applies_to([*left, *right]))
-        return Predicate(own) if own else None
-
-    def constant_of(self, name: str) -> object | None:
-        return next((x[1] for t in self.terms if (x := t.against_constant(name)) and x[0] == "="), None)
-
-    def comparison_of(self, name: str) -> tuple[str, object] | None:
-        return next((x for t in self.terms if (x := t.against_constant(name))), None)
-
-    def field_same_as(self, name: str) -> str | None:
-        return next((x for t in self.terms if (x := t.same_as(name))), None)
-
     def __str__(self) -> str:
         return " and ".join(map(str, self.terms))
 
 
 def term(left: object, op: str, right: object) -> Term:
-    """Strings starting with '@' are fields; everything else is a constant."""
-    make = lambda x: Field(x[1:].lower()) if isinstance(x, str) and x.startswith("@") else Const(x)
+    """Strings starting with '@' are fields; everything else is a constant. Field and Const can be given themselves."""
+    make = lambda x: x if isinstance(x, Field | Const) else Field(x[1:].lower()) if isinstance(x, str) and x.startswith("@") else Const(x)
     return Term(make(left), op, make(right))
 
 

@@ -1 +1 @@
-"""Cost estimates."""
+"""Statistics of tables."""

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators.dml import delete, insert, update
+from .operators.dml import View, delete, insert, update
 from .operators.predicates import Const, Field, Predicate, where
 from .operators.relational import aggregate, group, order, product, products, project, select
-from .plans.estimates import table_stats
+from .plans.statistics import table_stats
 from .sources.catalog import Catalog, fields, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,21 @@ def _left_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product(nation, nation)
 
 
+def _mixed_with_nulls(op: str) -> Query:
+    """A string, null for one segment, against a number."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        some = read(spark, sf_dir, "customer").withColumn("segment", F.nullif("c_mktsegment", F.lit("BUILDING")))
+        return project(select(some, where(("@segment", op, 5))), ["c_custkey"])
+
+    return query
+
+
+def _through(tables: list[str], change: Callable[[View], tuple[DataFrame, ...]], at: int, predicate: Predicate, *names: str) -> Query:
+    """The table at place ``at`` after a write through a view of ``tables``."""
+    return lambda spark, sf_dir: change(View(tuple(read(spark, sf_dir, t) for t in tables), predicate, names or None))[at]
+
+
 def _narrow_types(df: DataFrame) -> DataFrame:
     """Catalog numbers as in their definition: they fit an int in the oracle's literals."""
     return df.select(*[F.col(f.name).cast("int") if isinstance(f.dataType, T.LongType) else F.col(f.name) for f in df.schema.fields])
@@ -115,6 +130,13 @@ QUERIES: dict[str, Query] = {
     "update_all": _changed("nation", lambda df: update(df, "n_name", Const("X"))),
     "delete_where": _changed("nation", lambda df: delete(df, where(("@n_regionkey", "=", 2)))),
     "delete_all": _changed("nation", delete),
+    "mismatch_ne_null": _mixed_with_nulls("<>"),
+    "mismatch_eq_null": _mixed_with_nulls("="),
+    "update_through_product": _through(["nation", "region"], lambda v: v.update("n_name", Const("X")), 0, ASIA),
+    "update_through_product_right": _through(["nation", "region"], lambda v: v.update("r_name", Const("X")), 1, where(("@n_regionkey", "=", "@r_regionkey"), ("@n_name", "=", "JAPAN"))),
+    "update_through_project": _through(["nation"], lambda v: v.update("n_name", Const("X")), 0, where(("@n_regionkey", "=", 2)), "n_nationkey", "n_name"),
+    "insert_through_project": _through(["nation"], lambda v: v.insert(["n_name"], ["X"]), 0, where(("@n_regionkey", "=", 2)), "n_nationkey", "n_name"),
+    "delete_through_select": _through(["nation"], View.delete, 0, where(("@n_regionkey", "=", 2)), "n_name"),
     "create_table": lambda spark, _: Catalog(spark).create("people", fields("id int", "name varchar(20)", "active bool", "born date")),
     "table_catalog": lambda spark, _: _narrow_types(_catalog(spark).table_catalog()),
     "field_catalog": lambda spark, _: _narrow_types(_catalog(spark).field_catalog()),
@@ -156,6 +178,15 @@ ORACLE_SQL: dict[str, str] = {
     "update_all": "select n_nationkey, 'X' as n_name, n_regionkey from nation",
     "delete_where": "select * from nation where not (n_regionkey = 2)",
     "delete_all": "select * from nation where false",
+    "mismatch_ne_null": "select c_custkey from customer where c_mktsegment <> 'BUILDING'",
+    "mismatch_eq_null": "select c_custkey from customer where false",
+    "update_through_product": """select n_nationkey, n_regionkey, case when exists (select 1 from region where r_regionkey = n_regionkey and r_name = 'ASIA')
+      then 'X' else n_name end as n_name from nation""",
+    "update_through_product_right": """select r_regionkey, case when exists (select 1 from nation where r_regionkey = n_regionkey and n_name = 'JAPAN')
+      then 'X' else r_name end as r_name from region""",
+    "update_through_project": "select n_nationkey, case when n_regionkey = 2 then 'X' else n_name end as n_name, n_regionkey from nation",
+    "insert_through_project": "select * from nation union all select 0::int, 'X', 0::int",
+    "delete_through_select": "select * from nation where n_regionkey <> 2",
     "create_table": "select * from (select 1::bigint as id, '' as name, true as active, timestamp '2024-01-01' as born) where false",
     "table_catalog": "select * from (values ('table_catalog', 88::int), ('field_catalog', 176), ('people', 113)) t(tablename, slotsize)",
     "field_catalog": """select * from (values ('table_catalog', 'tablename', 8::int, 12::int, 16::int), ('table_catalog', 'slotsize', 80, 4, 0),

@@ -23,6 +23,11 @@ def test_query(spark, con, name):
     assert rows(q.QUERIES[name](spark, SF).toPandas()) == rows(con.sql(q.ORACLE_SQL[name]).df())
 
 
+def test_order_by_is_in_order(spark, con):
+    got = [r["c_custkey"] for r in q.QUERIES["order_by"](spark, SF).collect()]
+    assert got == [r[0] for r in con.sql(q.ORACLE_SQL["order_by"]).fetchall()]
+
+
 def test_entry_works_without_the_corpus_package(tmp_path):
     import shutil
     import subprocess
