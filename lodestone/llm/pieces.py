@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -33,6 +34,12 @@ SEPARATOR = "▁"
 FREQUENT, SHORT, SHARE = 250_000, 32, 16
 #: Distinct units that a task counts before it hands them on.
 HELD = 100_000
+#: Rows that are unpacked at once.
+ROWS = 200
+#: A byte that no UTF-8 text holds.
+BREAK = b"\xff"
+#: Loose pieces of a model whose other pieces are merged in one pass, at most.
+LOOSE = 200
 #: Boundaries that fit a 64-bit mask; positions of a block of the fold; characters of a part of a long unit.
 MASK, BLOCK, PART = 61, 64, 256
 #: What a character without a piece costs more than the worst piece of a unigram model.
@@ -63,6 +70,31 @@ class Model:
         rest = f"[^{SEPARATOR}]+" if mixed else rf"(?:\p{{L}}+|[^\p{{L}}{SEPARATOR}]+)"
         return f"{SEPARATOR}*{rest}|{SEPARATOR}+"
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Each piece's place in the order of merges; equal scores share one."""
+        order = {s: i for i, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        return {p: order[s] for p, _, s in self.pieces}
+
+    @cached_property
+    def loose(self) -> set[int]:
+        """Ranks of the pieces that may be merged later than at their turn: tied ones, and those not made of two earlier ones.
+
+        Merges inside a piece don't depend on what is around it. If the merges of its text that come before its own leave
+        two symbols, it can be merged at its turn if its ends still stand, or never.
+        """
+        ranks, shared = self.ranks, Counter(self.ranks.values())
+
+        def symbols(piece: str) -> int:
+            n, live = len(piece), set(range(len(piece) + 1))
+            found = sorted((ranks[piece[i:j]], i, j) for i in range(n) for j in range(i + 2, n + 1) if piece[i:j] in ranks)
+            for _, i, j in found[: found.index((ranks[piece], 0, n))]:
+                if i in live and j in live:
+                    live -= set(range(i + 1, j))
+            return len(live) - 1
+
+        return {r for p, r in ranks.items() if len(p) > 1 and (shared[r] > 1 or symbols(p) != 2)}
+
     def texts(self) -> list[bytes]:
         """Each id's bytes, the separator as a space; control pieces have none."""
         out = [b""] * (1 + max([i for _, i, _ in self.pieces] + ([self.bytes_from + 255] if self.bytes_from is not None else []) + [self.unknown]))
@@ -74,6 +106,7 @@ class Model:
         return out
 
 
+@lru_cache(maxsize=4)
 def load(path: str) -> Model:
     """Read a model file on the driver. Byte-pair models score their pieces by falling whole numbers."""
     import sentencepiece
@@ -103,19 +136,37 @@ def _size(x: Column) -> Column:
     return F.shiftright(x, 20).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _merge_mask(packed: Column, n: Column) -> Column:
-    """Boundaries left when adjacent symbols have been merged, best edge first; boundaries are bits of a long.
+def _one(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def _ends(x: Column) -> Column:
+    return _one(_start(x)).bitwiseOR(_one(_start(x) + _size(x)))
+
+
+def _inner(x: Column) -> Column:
+    return _one(_start(x) + _size(x)) - _one(_start(x) + 1)
+
+
+def _span(x: Column) -> Column:
+    """All boundaries from an edge's start to its end."""
+    return _one(_start(x) + _size(x) + 1) - _one(_start(x))
 
-    The fold's state is the boundaries and the edges whose ends both still are boundaries.
+
+def _merged(packed: Column, n: Column, model: Model) -> Column:
+    """Boundaries left, as bits of a long, when adjacent symbols have been merged, best edge first.
+
+    One pass over the edges in order; only where a piece may be merged later than at its turn, the best one is searched
+    again after each merge.
     """
-    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    every = one(n + 1) - 1
+    every = _one(n + 1) - 1
+    wide = F.filter(packed, lambda x: _size(x) >= 2)
 
-    def masks(x: Column) -> Column:
-        s, t = _start(x), _start(x) + _size(x)
-        return F.struct((one(s) + one(t)).alias("ends"), (one(t) - one(s + 1)).alias("inner"))
+    def turn(b: Column, x: Column) -> Column:
+        return F.when(b.bitwiseAND(_ends(x)) == _ends(x), b.bitwiseAND(F.bitwise_not(_inner(x)))).otherwise(b)
 
     def step(acc: Column, _: Column) -> Column:
+        # the best edge whose ends both stand with one boundary between them; edges that lost an end are left out
         def merge(live: Column) -> Column:
             gone = F.get(F.filter(live, lambda x: F.bit_count(acc["b"].bitwiseAND(x["inner"])) == 1), F.lit(0))["inner"]
             left = lambda g: F.struct(F.coalesce(acc["b"].bitwiseAND(F.bitwise_not(g)), acc["b"]).alias("b"), F.when(g.isNull(), F.slice(live, 1, 0)).otherwise(live).alias("m"))
@@ -123,17 +174,23 @@ def _merge_mask(packed: Column, n: Column) -> Column:
 
         return F.when(F.size(acc["m"]) == 0, acc).otherwise(let(F.filter(acc["m"], lambda x: acc["b"].bitwiseAND(x["ends"]) == x["ends"]), merge))
 
-    marked = F.transform(F.filter(packed, lambda x: _size(x) >= 2), masks)
+    marked = F.transform(wide, lambda x: F.struct(_ends(x).alias("ends"), _inner(x).alias("inner")))
     fold = lambda m: F.aggregate(F.sequence(F.lit(1), F.least(F.size(m), n - 1)), F.struct(every.alias("b"), m.alias("m")), step, lambda acc: acc["b"])
-    boundaries = let(marked, lambda m: F.when((F.size(m) == 0) | (n < 2), every).otherwise(fold(m)))
-    return let(boundaries, lambda b: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", b, i) == 1))
+    search = let(marked, lambda m: F.when((F.size(m) == 0) | (n < 2), every).otherwise(fold(m)))
+    if len(model.loose) > LOOSE:
+        return search
+    late = F.exists(wide, lambda x: F.shiftright(x, 32).isin(sorted(model.loose))) if model.loose else F.lit(False)
+    return F.when(late, search).otherwise(F.aggregate(wide, every, turn))
+
+
+def _bits(b: Column, n: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", b, i) == 1)
 
 
 def _lattice(units: DataFrame, model: Model) -> DataFrame:
     """(unit, e): the edges of short units of a byte-pair model, best first. An edge is one long: rank, place, length, id."""
-    scores = {s: i for i, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
-    # bounded by the model file, whatever the corpus holds; the empty piece keeps units that match nothing else
-    table = units.sparkSession.createDataFrame([("", 0), *((p, scores[s] << 32 | i) for p, i, s in model.pieces)], "piece string, code long")
+    # bounded by the model file, whatever the corpus holds; the empty piece, first in order, keeps units that match nothing else
+    table = units.sparkSession.createDataFrame([("", -1 << 40), *((p, model.ranks[p] << 32 | i) for p, i, _ in model.pieces)], "piece string, code long")
     n = F.length("unit")
     begun = units.select("unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
     size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
@@ -145,16 +202,26 @@ def _lattice(units: DataFrame, model: Model) -> DataFrame:
 
 def _short(units: DataFrame, model: Model) -> DataFrame:
     """Units of a byte-pair model whose boundaries fit a mask."""
+    n = F.length("unit")
+
+    def slow(b: Column) -> Column:
+        """Ids where some character has no piece."""
 
-    def ids(b: Column) -> Column:
         def one(i: Column, end: Column) -> Column:
             wanted = F.shiftleft(i.cast("long"), 26).bitwiseOR(F.shiftleft((end - i).cast("long"), 20))
             same = lambda w: F.get(F.filter("e", lambda x: x.bitwiseAND(F.lit(0xFFF00000)) == w), F.lit(0))
             return let(let(wanted, same), lambda x: F.when(x.isNotNull(), F.array(x.bitwiseAND(F.lit(0xFFFFF)).cast("int"))).otherwise(_byte_ids(model, F.substring("unit", i + 1, end - i))))
 
-        return F.flatten(F.transform(F.slice(b, 2, F.size(b) - 1), lambda end, i: one(F.get(b, i), end)))
+        return let(_bits(b, n), lambda at: F.flatten(F.transform(F.slice(at, 2, F.size(at) - 1), lambda end, i: one(F.get(at, i), end))))
 
-    return _lattice(units, model).select("unit", let(_merge_mask(F.col("e"), F.length("unit")), ids).alias("ids"))
+    def ids(b: Column) -> Column:
+        # the edges between neighbouring boundaries, in order, without the empty piece
+        left = F.filter(F.slice("e", 2, F.size("e")), lambda x: b.bitwiseAND(_span(x)) == _ends(x))
+        in_order = F.sort_array(F.transform(left, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))
+        whole = lambda x: F.when(F.size(x) == F.bit_count(b) - 1, F.transform(x, lambda i: i.bitwiseAND(F.lit(0xFFFFF)).cast("int"))).otherwise(slow(b))
+        return let(in_order, whole)
+
+    return _lattice(units, model).select("unit", let(_merged(F.col("e"), n, model), ids).alias("ids"))
 
 
 def _long_edges(units: DataFrame, model: Model) -> DataFrame:
@@ -184,10 +251,10 @@ def _followed(edges: DataFrame, model: Model) -> DataFrame:
     starts = edges.withColumn("s", F.col("t") - F.col("k"))
     pairs = starts.join(ends, ["key", "s"], "left").filter("a is not null or s = 0").withColumn("a", F.coalesce("a", F.lit("")))
     texts = pairs.select("a", F.col("piece").alias("b")).distinct().withColumn("unit", F.concat("a", "b"))
-    cut = _lattice(texts.select("unit").distinct(), model).select("unit", _merge_mask(F.col("e"), F.length("unit")).alias("cut"))
-    apart = F.array_distinct(F.array(F.lit(0), F.length("a"), F.length("unit")))
+    cut = _lattice(texts.select("unit").distinct(), model).select("unit", _merged(F.col("e"), F.length("unit"), model).alias("cut"))
+    apart = F.lit(1).cast("long").bitwiseOR(_one(F.length("a"))).bitwiseOR(_one(F.length("unit")))
     valid = texts.join(cut, "unit").filter(F.col("cut") == apart).select("a", F.col("b").alias("piece"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("a"))
+    bit = _one(F.length("a"))
     return pairs.join(valid, ["a", "piece"]).groupBy("key", "t", "k", "piece", "id", "cost").agg(F.bit_or(bit).alias("before"))
 
 
@@ -201,7 +268,7 @@ def _viterbi(blocks: Column, longest: int) -> Column:
     def position(acc: Column, edges: Column) -> Column:
         def reached(e: Column) -> Column:
             old = F.get(acc, F.size(acc) - e["k"])
-            fits = (e["before"] == -1) | (F.call_function("shiftleft", F.lit(1).cast("long"), old["k"]).bitwiseAND(e["before"]) != 0)
+            fits = (e["before"] == -1) | (_one(old["k"]).bitwiseAND(e["before"]) != 0)
             return F.when(fits, F.struct((old["cost"] + e["cost"]).alias("cost"), e["k"].alias("k"), e["id"].alias("id"), e["raw"].alias("raw")))
 
         return F.array_append(acc, F.array_min(F.transform(edges, reached)))
@@ -267,12 +334,12 @@ def _units(text: str, model_prefix: bool, find) -> list[str]:
     return find((SEPARATOR if model_prefix else "") + text.replace(" ", SEPARATOR))
 
 
-def _slices(batch: pa.Array, rows: int = 200) -> Iterator[list]:
-    for lo in range(0, len(batch), rows):
-        yield batch.slice(lo, rows).to_pylist()
+def _slices(batch: pa.Array) -> Iterator[list]:
+    for lo in range(0, len(batch), ROWS):
+        yield batch.slice(lo, ROWS).to_pylist()
 
 
-def _frequent(docs: DataFrame, model: Model, most: int) -> list[tuple[str, list[int]]]:
+def _frequent(docs: DataFrame, model: Model, most: int) -> pa.Table:
     """The most frequent short units of a share of the rows, with their encodings: ``most`` units of SHORT characters at most.
 
     This only decides which encodings travel to the workers beforehand; every other unit of any row is encoded and joined.
@@ -294,35 +361,34 @@ def _frequent(docs: DataFrame, model: Model, most: int) -> list[tuple[str, list[
     some = docs.select(text_of().alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(SHARE)) == 0)
     counts = some.mapInArrow(count, "unit string, n long").filter(F.length("unit") <= SHORT).groupBy("unit").agg(F.sum("n").alias("n"))
     often = materialise(counts.orderBy(F.desc("n"), "unit").limit(most).select("unit"))
-    return [(r["unit"], list(r["ids"])) for r in encode_units(often, model).collect()]
+    return encode_units(often, model).toArrow()
 
 
 class Known:
     """Encodings of the frequent units as flat arrays: where each one starts, how many ids it has, and all ids."""
 
-    def __init__(self, coded: list[list[int]]) -> None:
-        self.sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+    def __init__(self, coded: pa.ChunkedArray) -> None:
+        chunks = [c for c in coded.chunks if len(c)]
+        self.sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in chunks] or [np.zeros(0)]).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.ids = np.array([i for x in coded for i in x], dtype=np.int32)
+        self.ids = np.concatenate([c.flatten().to_numpy() for c in chunks] or [np.zeros(0)]).astype(np.int32)
 
-    def fill(self, codes: list[np.ndarray], rare: list[list[dict] | None]) -> pa.ListArray:
+    def fill(self, codes: list[np.ndarray], found: pa.ListArray) -> pa.ListArray:
         """Ids of texts: codes below the number of frequent units mean these, the others the text's own rare units."""
-        n, at, sizes, ids, put = len(self.sizes), [], [], [], []
-        base, total = len(self.ids), 0
-        for c, own in zip(codes, rare, strict=True):
-            put.append(np.where(c >= n, c + total, c))
-            own = sorted((x["slot"], x["ids"]) for x in own or ())
-            total += len(own)
-            sizes += [len(x) for _, x in own]
-            ids += [i for _, x in own for i in x]
-        own_sizes = np.array(sizes, dtype=np.int64)
-        at = np.concatenate((self.starts, base + np.cumsum(own_sizes) - own_sizes))
-        every, flat = np.concatenate((self.sizes, own_sizes)), np.concatenate((self.ids, np.array(ids, dtype=np.int32)))
-        code = np.concatenate([*put, np.zeros(0, np.int64)]).astype(np.int64)
+        n, own = len(self.sizes), found.flatten()
+        held = np.where(found.is_valid().to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        order = np.lexsort((own.field("slot").to_numpy(), np.repeat(np.arange(len(held)), held)))
+        lists = own.field("ids").take(pa.array(order))
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        every, flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, lists.flatten().to_numpy().astype(np.int32)))
+        starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        words = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+        code = np.concatenate([*codes, np.zeros(0, np.int32)]).astype(np.int64)
+        code += np.where(code >= n, np.repeat(np.cumsum(held) - held, words), 0)
         count = every[code]
         ends = np.cumsum(count)
-        places = np.arange(int(count.sum())) + np.repeat(at[code] - (ends - count), count)
-        rows = np.cumsum([0, *map(len, codes)])
+        places = np.arange(int(count.sum())) + np.repeat(starts[code] - (ends - count), count)
+        rows = np.concatenate(([0], np.cumsum(words)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[rows].astype(np.int32)), pa.array(flat[places]))
 
 
@@ -335,10 +401,10 @@ def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: b
     """
     pattern, prefix = model.unit, model.prefix
     known = _frequent(docs, model, frequent)
-    numbers = docs.sparkSession.sparkContext.broadcast([u for u, _ in known])
-    table = docs.sparkSession.sparkContext.broadcast(Known([x for _, x in known]))
+    numbers = docs.sparkSession.sparkContext.broadcast(known["unit"].to_pylist())
+    table = docs.sparkSession.sparkContext.broadcast(Known(known["ids"]))
 
-    @F.arrow_udf("struct<codes:binary,rare:array<string>>")
+    @F.arrow_udf("struct<codes:binary,rare:binary>")
     def number(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         """Each text as numbers of frequent units, and its rare units, which are numbered on from there."""
         find, get = re.compile(pattern).findall, {u: i for i, u in enumerate(numbers.value)}.get
@@ -352,23 +418,25 @@ def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: b
                     gaps, own = np.flatnonzero(c < 0), {}
                     c[gaps] = [own.setdefault(units[i], first + len(own)) for i in gaps.tolist()]
                     codes.append(pack(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
-                    rare.append(list(own))
-            yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["codes", "rare"])
+                    rare.append(pack(BREAK.join([u.encode() for u in own])) if own else None)
+            yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["codes", "rare"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            own = batch.column("__rare")
-            sizes = np.diff(own.offsets.to_numpy())
+            own = [[] if x is None else open_(x).split(BREAK) for x in batch.column("__rare").to_pylist()]
+            sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
             slot = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             row = np.repeat(batch.column("__row").to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(slot.astype(np.int32)), own.flatten()], ["__row", "slot", "unit"])
+            units = pa.array([u for x in own for u in x], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(slot.astype(np.int32)), units], ["__row", "slot", "unit"])
 
     @F.arrow_udf("array<int>")
-    def fill(codes: pa.Array, rare: pa.Array) -> pa.Array:
+    def fill(codes: pa.Array, found: pa.Array, _: pa.Array) -> pa.Array:
         open_, out = zstandard.ZstdDecompressor().decompress, []
-        for some, own in zip(_slices(codes), _slices(rare), strict=True):
-            planes = [np.frombuffer(open_(x), np.uint8).reshape(4, -1) for x in some]
-            out.append(table.value.fill([np.ascontiguousarray(p.T).view(np.int32).reshape(-1) for p in planes], own))
+        for lo in range(0, len(codes), ROWS):
+            planes = [np.frombuffer(open_(x), np.uint8).reshape(4, -1) for x in codes.slice(lo, ROWS).to_pylist()]
+            out.append(table.value.fill([np.ascontiguousarray(p.T).view(np.int32).reshape(-1) for p in planes], found.slice(lo, ROWS)))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     names = [c for c in docs.columns if c != "ids" and (keep_text or c != "text")]
@@ -380,7 +448,9 @@ def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: b
     wanted = dealt.mapInArrow(unpack, "__row long, slot int, unit string")
     coded = encode_units(wanted.select("unit").distinct(), model)
     found = wanted.join(coded, "unit").groupBy("__row").agg(F.collect_list(F.struct("slot", "ids")).alias("__found"))
-    return dealt.join(found, "__row", "left").select(*names, fill("__codes", "__found").alias("ids"))
+    # all columns are asked for, or the exchange would be pruned and made twice
+    whole = F.col("__rare").isNotNull()
+    return dealt.join(found, "__row", "left").select(*names, fill("__codes", "__found", whole).alias("ids"))
 
 
 def decode(coded: DataFrame, model: Model) -> DataFrame:
@@ -389,12 +459,22 @@ def decode(coded: DataFrame, model: Model) -> DataFrame:
     lead = model.prefix
 
     @F.arrow_udf("string")
-    def text(ids: pa.Array) -> pa.Array:
-        table, out = pieces.value, []
-        for x in ids.to_pylist():
-            t = None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace")
-            out.append(t[1:] if t and lead and t[0] == " " else t)
-        return pa.array(out, pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pa.array(pieces.value, pa.binary())
+        for batch in batches:
+            out = []
+            for lo in range(0, len(batch), ROWS):
+                ids = batch.slice(lo, ROWS)
+                known = ids.is_valid().to_pylist()
+                sizes = np.where(known, ids.value_lengths().fill_null(0).to_numpy(), 0)
+                # the pieces taken lie one after the other in one buffer
+                taken = table.take(ids.flatten())
+                at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1][np.concatenate(([0], np.cumsum(sizes)))]
+                raw = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+                for a, z, ok in zip(at[:-1].tolist(), at[1:].tolist(), known, strict=True):
+                    a += bool(lead and z > a and raw[a : a + 1] == b" ")
+                    out.append(raw[a:z].decode("utf-8", "replace") if ok else None)
+            yield pa.array(out, pa.string())
 
     return coded.withColumn("decoded", text("ids"))
 
