@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of, words_of
+from .common import let, materialise, text_of, words_of
 
 WINDOW = 8
 
@@ -59,19 +59,25 @@ POLICIES = (
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside 8-word windows that occur twice or more; windows are compared by 64-bit hash within a text."""
+    """Words inside 8-word windows that occur twice or more in a text.
+
+    Windows whose 64-bit hash stands alone are left out first; the others are sorted and compared by their words.
+    """
 
     def covered(at: Column) -> Column:
         step = F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))))
         return F.aggregate(step, F.lit(0), lambda a, x: a + x)
 
-    def repeats(s: Column) -> Column:
-        same = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
-        return F.sort_array(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"]))
+    def repeated(s: Column, key: str) -> Column:
+        """Places whose key stands beside them too; ``s`` is sorted by key."""
+        same = lambda x, i: (F.get(s, i - 1)[key] == x[key]) | (F.get(s, i + 1)[key] == x[key])
+        return F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"])
 
     def count(h: Column) -> Column:
-        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(let(order, repeats), covered))
+        hashed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        spelled = lambda at: F.sort_array(F.transform(at, lambda p: F.struct(F.slice(words, p + 1, WINDOW).alias("w"), p.alias("p"))))
+        places = let(let(let(hashed, lambda s: repeated(s, "h")), spelled), lambda s: F.sort_array(repeated(s, "w")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places, covered))
 
     windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(windows, count)).cast("long")
@@ -129,4 +135,12 @@ def ablations(kept: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataF
 
 
 def quality_rules(docs: DataFrame, policy: Policy = POLICIES[1]) -> DataFrame:
-    return apply_policy(ledger(docs), policy)
+    """Write the ledger of ``docs`` once and apply ``policy`` to it.
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept, then n_lines, n_upper
+    and failed. Null and empty texts have no words and aren't kept; repeated rows each get a row; an empty table gives an
+    empty result; only doc_id and text are read.
+    """
+    applied = apply_policy(materialise(ledger(docs)), policy)
+    first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return applied.select(*first, *[c for c in applied.columns if c not in first])

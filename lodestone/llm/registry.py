@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, license_scan, line_dedup, pieces, quality_model, quality_rules, sharding, simhash, substring_dedup, toxicity
+from .common import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All policies over one ledger: what each rule rejects, and what it alone rejects."""
+    return quality_rules.ablations(materialise(quality_rules.ledger(table(spark, sf_dir, "documents"))))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,34 +78,35 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_sharding": op9_sharding,
     "op10_quality_model": op10_quality_model,
+    "quality_ablations": quality_ablations,
 }
 
 
 def _license_sql() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    phrases = sorted({p for t in (*license_scan.BASE, *license_scan.OWN) for p in (t.phrase, *t.must)})
-
-    def starts(p: str) -> str:
-        same = " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split()))
-        return f"list_filter(range(len(w)), lambda i: coalesce({same}, false))"
-
-    at = {p: f"p{k}" for k, p in enumerate(phrases)}
-    held = lambda t: " AND ".join(f"len({at[p]}) > 0" for p in (t.phrase, *t.must))
-    named = lambda ts: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {held(t)} THEN '{t.label}' END" for t in ts) + "], lambda x: x IS NOT NULL))), ',')"
     base, every = license_scan.BASE, (*license_scan.BASE, *license_scan.OWN)
-    places = "list_concat(list_concat(" + at[base[0].phrase] + ", " + at[base[1].phrase] + "), " + at[base[2].phrase] + ")"
-    score = "greatest(0.0::DOUBLE, " + ", ".join(f"CASE WHEN {held(t)} THEN {len(t.words)}::DOUBLE / {len(t.words) + 1} ELSE 0.0 END" for t in every) + ")"
+    at = {(t.phrase, t.share): k for k, t in enumerate(license_scan.sought(every))}
+    values = ", ".join(f"({k}, {i}, '{w}', {t.least})" for k, t in enumerate(license_scan.sought(every)) for i, w in t.words)
+    held = lambda t: " AND ".join(f"coalesce(m[{at[key]}], 0) > 0" for key in ((t.phrase, t.share), *[(p, license_scan.Fraction(1)) for p in t.must]))
+    named = lambda ts: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {held(t)} THEN '{t.label}' END" for t in ts) + "], lambda x: x IS NOT NULL))), ',')"
+    score = "greatest(0.0::DOUBLE, " + ", ".join(f"CASE WHEN {held(t)} THEN m[{at[t.phrase, t.share]}]::DOUBLE / {len(t.words) + 1} ELSE 0.0 END" for t in every) + ")"
+    bases = ", ".join(str(at[t.phrase, t.share]) for t in base)
     return f"""
-WITH words AS (SELECT doc_id, regexp_extract_all({lower}, '{license_scan.WORD}') AS w FROM documents),
-found AS (SELECT doc_id, w, {", ".join(f"{starts(p)} AS {at[p]}" for p in phrases)} FROM words)
-SELECT doc_id, len(w)::BIGINT AS n_words, len({places})::BIGINT AS n_base, list_min({places}) AS first_word,
-  list_max({places}) AS last_word, coalesce({named(base)}, '') AS base_labels, coalesce({named(every)}, '') AS labels, {score} AS score
-FROM found"""
-
-
-def _quality_sql() -> str:
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{license_scan.WORD}') AS w FROM documents),
+tokens AS (SELECT r, i - 1 AS i, w[i] AS x FROM words, unnest(range(1, len(w) + 1)) AS u(i)),
+sought(k, j, x, least) AS (VALUES {values}),
+places AS (SELECT r, k, i - j AS s, count(*) AS n FROM tokens JOIN sought USING (x) GROUP BY r, k, s, least HAVING count(*) >= least),
+best AS (SELECT r, k, max(n) AS n, count(*) AS c, min(s) AS a, max(s) AS z FROM places GROUP BY r, k),
+found AS (
+  SELECT r, map(list(k), list(n)) AS m, sum(c) FILTER (k IN ({bases})) AS c,
+    min(a) FILTER (k IN ({bases})) AS a, max(z) FILTER (k IN ({bases})) AS z FROM best GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce({named(base)}, '') AS base_labels, coalesce({named(every)}, '') AS labels, {score} AS score
+FROM words LEFT JOIN found USING (r)"""
+
+
+def _measured_sql() -> str:
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit} ELSE 0 END" for r in quality_rules.RULES)
-    base, policy = quality_rules.POLICIES[0].mask, quality_rules.POLICIES[1].mask
     n = quality_rules.WINDOW
     return rf"""
 WITH words AS (
@@ -117,8 +124,21 @@ measured AS (
     (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(l)::BIGINT AS n_lines, len(regexp_extract_all(body, '[A-Z]'))::BIGINT AS n_upper
   FROM words LEFT JOIN covered USING (r)),
-marked AS (SELECT *, ({bits})::BIGINT AS failed FROM measured)
-SELECT *, failed & {base} <> 0 AS base_failed, failed & {base | policy} = 0 AS kept FROM marked"""
+marked AS (SELECT *, ({bits})::BIGINT AS failed FROM measured)"""
+
+
+def _quality_sql() -> str:
+    base, policy = quality_rules.POLICIES[0].mask, quality_rules.POLICIES[1].mask
+    return f"{_measured_sql()}\nSELECT *, failed & {base} <> 0 AS base_failed, failed & {base | policy} = 0 AS kept FROM marked"
+
+
+def _ablations_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{p.name}' AS policy, {p.version}::INT AS version, '{r.name}' AS rule, count(*) FILTER (failed & {1 << r.bit} <> 0) AS failed, "
+        f"count(*) FILTER (failed & {p.mask} = {1 << r.bit}) AS only_this FROM marked"
+        for p in quality_rules.POLICIES for r in quality_rules.RULES if r.name in p.rules
+    )
+    return f"{_measured_sql()}\n{rows}"
 
 
 LINES_SQL = r"""
@@ -136,5 +156,6 @@ FROM docs LEFT JOIN kept USING (r)"""
 ORACLE_SQL = {
     "op1_license_scan": _license_sql(),
     "op4_quality_rules": _quality_sql(),
+    "quality_ablations": _ablations_sql(),
     "op7_line_dedup": LINES_SQL,
 }
