@@ -27,8 +27,10 @@ BLOCK, RANK, EXTRA = 32, 128, 8
 SHARE, RAREST = 0.005, 8
 #: Telling words that a candidate must share with the item.
 LEAST_SHARED = 3
-#: Items with fewer words can't be told from chance and never match.
-LEAST_WORDS, MOST_BENCHMARK_WORDS, ANSWER = 8, 2_000_000, 4
+#: Items with fewer words match only where they stand whole, word by word.
+LEAST_WORDS, ANSWER = 8, 4
+#: Words of the items that are searched at once; a larger benchmark is searched in parts. Pieces of items in a product.
+PART_WORDS, PIECES = 500_000, 2048
 ROWS = 256  # of a partial matrix that travel together
 
 
@@ -50,7 +52,7 @@ def lcs(masks: dict[int, int], size: int, words: list[int]) -> list[int]:
 class Item:
     """A benchmark item as word numbers."""
 
-    item_id: int
+    item_id: int | None
     words: list[int]
 
     def __post_init__(self) -> None:
@@ -186,12 +188,59 @@ def _unit(y: np.ndarray) -> np.ndarray:
     return (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def _shared(p: np.ndarray, k: np.ndarray, ends: np.ndarray, ids: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """For each (passage, item): telling words of the passage's two blocks that the item has."""
+def _shared(p: np.ndarray, k: np.ndarray, ends: np.ndarray, ids: np.ndarray, member: np.ndarray, words: int) -> np.ndarray:
+    """For each (passage, item): telling words of the passage's two blocks that the item has; member: sorted k * words + id."""
     size = ends[p + 2] - ends[p]
     pair = np.repeat(np.arange(len(p)), size)
     at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + ends[p][pair]
-    return np.bincount(pair, member[k[pair], ids[at]], minlength=len(p))
+    wanted = k[pair].astype(np.int64) * words + ids[at]
+    found = member[np.minimum(np.searchsorted(member, wanted), len(member) - 1)] == wanted
+    return np.bincount(pair, found, minlength=len(p))
+
+
+def _near(rows: np.ndarray, both: np.ndarray, targets: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, piece) whose cosine is large enough, for the first block alone or for both; pieces in bounded products."""
+    found = []
+    for lo in range(0, len(targets), PIECES):
+        near = np.maximum(*(y @ targets[lo : lo + PIECES].T for y in (rows, both)))
+        p, k = np.nonzero(near >= cosine)
+        found.append((p, k + lo, near[p, k]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+class Whole:
+    """Short items, found where all their words stand one after the other."""
+
+    def __init__(self, items: list[tuple[int | None, list[int]]]) -> None:
+        self.by_size: dict[int, tuple[np.ndarray, list]] = {}
+        for size in sorted({len(w) for _, w in items}):
+            own = sorted(((self._hash(np.array([w]))[0], i, w) for i, w in items if len(w) == size), key=lambda x: x[0])
+            self.by_size[size] = np.array([h for h, _, _ in own], dtype=np.uint64), [(i, w) for _, i, w in own]
+
+    @staticmethod
+    def _hash(rows: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(rows), dtype=np.uint64)
+        for c in range(rows.shape[1]):
+            h = (h ^ rows[:, c].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def find(self, at: np.ndarray, ids: np.ndarray) -> dict[int | None, tuple[int, int]]:
+        """Each item found: its first and last word's place, where it stands first."""
+        out: dict[int | None, tuple[int, int]] = {}
+        for size, (hashes, items) in self.by_size.items():
+            starts = np.flatnonzero(at[size - 1 :] - at[: len(at) - size + 1] == size - 1) if len(at) >= size else np.zeros(0, int)
+            if not len(starts):
+                continue
+            h = self._hash(ids[starts[:, None] + np.arange(size)])
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for j in np.flatnonzero(hi > lo).tolist():
+                words = ids[starts[j] : starts[j] + size].tolist()
+                for i, w in items[lo[j] : hi[j]]:
+                    if w == words:
+                        place = int(at[starts[j]])
+                        out[i] = min(out.get(i, (place, 0)), (place, place + size - 1))
+        return out
 
 
 def _total(hits: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
@@ -237,26 +286,67 @@ def _counts(hits: DataFrame, words: int) -> tuple[np.ndarray, int]:
     return n[:words], int(n[words])
 
 
+FORM = "doc_id long, item_id long, rule string, overlap double, cosine double, first_word int, last_word int"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, copy: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
     """Return (doc_id, item_id, rule, overlap, cosine, first_word, last_word), one row for each document and item found.
 
     ``overlap`` is the share of the item's words found in order inside a span of at most twice its length: ``copy``
-    or more of them, or ``paraphrase`` or more with the item's answer in order in that span. Null, empty and very short items
-    match nothing, nor do null and empty texts. Rows that share a doc_id give one row an item; rows without doc_id
-    are searched and reported under null. Equal items are reported each. Only doc_id, item_id and text are read.
+    or more of them, or ``paraphrase`` or more with the item's answer in order in that span. Items of under eight words
+    must stand whole (rule ``exact``, no cosine). Items without words match nothing, nor do null and empty texts. Rows that
+    share a doc_id give one row an item, and items that share an item_id one row a document; rows without doc_id, or items
+    without item_id, are searched and reported under null. Equal items are reported each. A benchmark of any size is
+    searched, in parts of bounded size. Only doc_id, item_id and text are read.
     """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
+    parts = -(-(items.agg(F.sum(F.size(F.split("text", r"[\W_]+")))).first()[0] or 0) // PART_WORDS)
+    found = docs.sparkSession.createDataFrame([], FORM)
+    for part in range(parts):
+        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        rows = sorted(((r["item_id"], tokens(r["text"])) for r in own.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        if rows := [(i, w) for i, w in rows if w]:
+            found = found.unionByName(_search(docs, rows, cosine, copy, paraphrase))
+    best = F.max_by(F.struct("rule", "overlap", "cosine", "first_word", "last_word"), F.struct("overlap", "cosine", -F.col("first_word"))).alias("x")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
+
+
+def _search(docs: DataFrame, rows: list[tuple[int | None, list[str]]], cosine: float, copy: float, paraphrase: float) -> DataFrame:
+    """What is found of one part of a benchmark."""
     spark = docs.sparkSession
-    form = "doc_id long, item_id long, rule string, overlap double, cosine double, first_word int, last_word int"
-    rows = sorted((r["item_id"] if r["item_id"] is not None else -1, tokens(r["text"])) for r in benchmark.select("item_id", text_of().alias("text")).distinct().toLocalIterator())
-    rows = [(i, w) for i, w in rows if len(w) >= LEAST_WORDS]
-    if sum(len(w) for _, w in rows) > MOST_BENCHMARK_WORDS:
-        raise ValueError("the benchmark is too large to broadcast; search it in parts")
-    if not rows:
-        return spark.createDataFrame([], form)
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
-    items = [Item(i, [vocabulary[w] for w in ws]) for i, ws in rows]
+    numbered = [(i, [vocabulary[w] for w in ws]) for i, ws in rows]
     hits = materialise(_hits(docs, vocabulary))
-    df, blocks = _counts(hits, len(vocabulary))
+    whole = [(i, ws) for i, ws in numbered if len(ws) < LEAST_WORDS]
+    items = [Item(i, ws) for i, ws in numbered if len(ws) >= LEAST_WORDS]
+    exact = _stand_whole(hits, whole) if whole else spark.createDataFrame([], FORM)
+    return exact.unionByName(_latent(hits, items, len(vocabulary), cosine, copy, paraphrase)) if items else exact
+
+
+def _stand_whole(hits: DataFrame, items: list[tuple[int | None, list[int]]]) -> DataFrame:
+    held = hits.sparkSession.sparkContext.broadcast(Whole(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for y in batches for x in _small(y)):
+            out = []
+            for d, at, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "ids")), strict=True):
+                got = held.value.find(np.frombuffer(at, np.int32), np.frombuffer(ids, np.int32))
+                out += [(d, i, "exact", 1.0, None, a, z) for i, (a, z) in got.items()]
+            yield _batch_of(out)
+
+    return hits.select("doc_id", "at", "ids").mapInArrow(run, FORM)
+
+
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 7
+    types = pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "rule", "overlap", "cosine", "first_word", "last_word"])
+
+
+def _latent(hits: DataFrame, items: list[Item], words: int, cosine: float, copy: float, paraphrase: float) -> DataFrame:
+    """Latent semantic retrieval of items, each candidate verified on the text."""
+    spark = hits.sparkSession
+    df, blocks = _counts(hits, words)
     telling = df <= SHARE * blocks
     pieces = [(k, x.words[lo : lo + 2 * BLOCK]) for k, x in enumerate(items) for lo in _places(len(x.words))]
     for _, ws in pieces:
@@ -265,15 +355,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
     owner = np.array([k for k, _ in pieces])
     own = np.concatenate([np.array(ws) for _, ws in pieces])
     piece = np.repeat(np.arange(len(pieces)), [len(ws) for _, ws in pieces])
-    member = np.zeros((len(items), len(vocabulary)), dtype=bool)
-    member[owner[piece], own] = weight[own] > 0
+    member = np.unique((owner[piece].astype(np.int64) * words + own)[weight[own] > 0])
+    member = member if len(member) else np.array([-1])
 
     def projected(vectors: np.ndarray) -> np.ndarray:
         return _sums(piece, vectors, own, weight, len(pieces))
 
     # the range of A'A, from one pass; the items' pieces count as passages too
-    rank = min(RANK + EXTRA, len(vocabulary))
-    random = np.random.default_rng(3).standard_normal((len(vocabulary), rank))
+    rank = min(RANK + EXTRA, words)
+    random = np.random.default_rng(3).standard_normal((words, rank))
     held = spark.sparkContext.broadcast((telling, weight, random))
 
     def sketch(batch: pa.RecordBatch) -> np.ndarray:
@@ -287,7 +377,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
         return _sums(ids[order], t, block[order], np.ones(b.blocks), len(weight)) * weight[:, None]
 
     order = np.argsort(own, kind="stable")
-    back = _sums(own[order], projected(random), piece[order], np.ones(len(pieces)), len(vocabulary)) * weight[:, None]
+    back = _sums(own[order], projected(random), piece[order], np.ones(len(pieces)), words) * weight[:, None]
     z = _total(hits, sketch, random.shape) + back
     basis = np.linalg.qr(z)[0]
     based = spark.sparkContext.broadcast(basis)
@@ -313,10 +403,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
             alone = _sums(block, latent, ids, weight, b.blocks)
             both = _passages(alone)
             live = np.flatnonzero(np.abs(both).sum(axis=1) > 0)
-            near = np.maximum(*(_unit(y[live]) @ targets.T for y in (alone, both)))
-            p, k = np.nonzero(near >= cosine)
-            near, p, k = near[p, k], live[p], owner[k]
-            shared = _shared(p, k, np.searchsorted(block, np.arange(b.blocks + 2)), ids, member)
+            p, k, near = _near(_unit(alone[live]), _unit(both[live]), targets, cosine)
+            p, k = live[p], owner[k]
+            shared = _shared(p, k, np.searchsorted(block, np.arange(b.blocks + 2)), ids, member, words)
             p, k, near = (x[shared >= LEAST_SHARED] for x in (p, k, near))
             row = np.searchsorted(b.first, p, side="right") - 1
             ends = np.searchsorted(b.row, np.arange(len(b.sizes) + 1))
@@ -334,13 +423,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.22, co
                     done.add((d, int(k[j])))
                     share, rule, first, last = got
                     out.append((names[d].as_py(), item.item_id, rule, share, float(near[j]), first, last))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            types = pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.int32()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "rule", "overlap", "cosine", "first_word", "last_word"])
+            yield _batch_of(out)
 
-    found = hits.select("doc_id", "n", "at", "ids").mapInArrow(search, form)
-    best = F.max_by(F.struct("rule", "overlap", "cosine", "first_word", "last_word"), F.struct("overlap", "cosine", -F.col("first_word"))).alias("x")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
+    return hits.select("doc_id", "n", "at", "ids").mapInArrow(search, FORM)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

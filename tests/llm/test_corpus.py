@@ -75,18 +75,40 @@ def odd(docs):
     return docs.withColumns({n: F.lit("clash") for n in names})
 
 
-def test_license_scan(docs, empty):
-    got = sorted(map(tuple, license_scan.scan_licenses(odd(docs)).collect()), key=str)
-    want = []
-    for i, t, *_ in corpus():
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
-        at = lambda p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]  # noqa: B023, E731
-        held = [x for x in (*license_scan.BASE, *license_scan.OWN) if at(x.phrase) and all(map(at, x.must))]
+def clauses(rng):
+    """Licence clauses whole, edited a little, edited too much, cut at the file's start, and without their key phrases."""
+    out = []
+    for t in license_scan.CLAUSES:
+        words_ = t.phrase.split()
+        telling = [i for i, _ in t.words]
+        for spoilt in (0, len(telling) - t.least, len(telling) - t.least + 1):
+            w = list(words_)
+            for i in rng.sample(telling, spoilt):
+                w[i] = "other"
+            text = f"{prose(rng, 9)} {' '.join(w)}, {prose(rng, 5)}. {'. '.join(t.must)}"
+            out += [text, text.upper()] if spoilt else [text]
+        out += [f"{t.phrase} {prose(rng, 5)}", f"{' '.join(words_[2:])}; {' / '.join(t.must)}", f"{t.phrase} {' '.join(t.must)} {t.phrase}"]
+    return out
+
+
+def test_license_scan(spark, docs, empty):
+    texts = clauses(random.Random(17))
+    made = docs.unionByName(spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate(texts)], SHAPE))
+    got = sorted(map(tuple, license_scan.scan_licenses(odd(made)).collect()), key=str)
+    want, kinds = [], Counter()
+    for i, t in [*[r[:2] for r in corpus()], *[(1000 + i, t) for i, t in enumerate(texts)]]:
+        w = dict(enumerate(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))))
+        at = lambda p: [k for k in w if [w.get(k + j) for j in range(len(p.split()))] == p.split()]  # noqa: B023, E731
+        best = lambda x: max(sum(w.get(s + j) == y for j, y in x.words) for s in range(-40, len(w) + 1))  # noqa: B023, E731
+        held = {x: best(x) for x in (*license_scan.BASE, *license_scan.OWN)}
+        held = {x: n for x, n in held.items() if n >= x.least and all(map(at, x.must))}
         base = [p for x in license_scan.BASE for p in at(x.phrase)]
         named = lambda ts: ",".join(sorted({x.label for x in ts}))
-        score = max((len(x.words) / (len(x.words) + 1) for x in held), default=0.0)
+        score = max((n / (len(x.words) + 1) for x, n in held.items()), default=0.0)
+        kinds.update(held.keys())
         want.append((i, len(w), len(base), min(base, default=None), max(base, default=None), named(x for x in held if x in license_scan.BASE), named(held), score))
     assert got == sorted(want, key=str)
+    assert all(2 <= kinds[x] < len(texts) for x in license_scan.CLAUSES)
     assert license_scan.scan_licenses(empty).count() == 0
 
 
@@ -190,6 +212,8 @@ def test_windows_over_random_fragments():
 
 
 def test_quality_rules(docs, empty):
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert quality_rules.quality_rules(docs).columns[:8] == first
     got = quality_rules.quality_rules(odd(docs)).collect()
     seen = Counter()
     for r in got:
@@ -247,6 +271,8 @@ def test_decontamination_recall_against_brute_force(spark, docs, empty):
         for i, text in items:
             own = decontamination.tokens(text or "")
             if len(own) < decontamination.LEAST_WORDS:
+                if own and any(seq[lo : lo + len(own)] == own for lo in range(len(seq))):
+                    brute.add((d, i))
                 continue
             at = {w: n for n, w in enumerate(sorted(set(own) | set(seq)))}
             item = decontamination.Item(i, [at[w] for w in own])
@@ -254,7 +280,7 @@ def test_decontamination_recall_against_brute_force(spark, docs, empty):
                 part = np.array([at[w] for w in seq[lo : lo + 128]])
                 hit = np.isin(part, item.words)
                 if item.verify(np.flatnonzero(hit), part[hit], 0.8, 0.6):
-                    brute.add((d, -1 if i is None else i))
+                    brute.add((d, i))
                     break
     assert planted <= brute and len(brute & got.keys()) >= 0.9 * len(brute)
     assert planted <= got.keys() and got.keys() <= brute
@@ -263,6 +289,20 @@ def test_decontamination_recall_against_brute_force(spark, docs, empty):
     assert decontamination.contaminated(empty, benchmark).count() == 0 == decontamination.contaminated(table, benchmark.filter("false")).count()
 
 
+def test_a_large_benchmark_in_parts_with_short_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PART_WORDS", 60_000)
+    monkeypatch.setattr(decontamination, "PIECES", 700)
+    rng = random.Random(18)
+    items = [(k, prose(rng, rng.randint(8, 40), 5000)) for k in range(5000)] + [(5000 + k, f"short{k} w{k} item") for k in range(6)] + [(None, "odd pair"), (None, prose(rng, 30, 5000))]
+    made = [(k, f"{prose(rng, 50, 5000)} {items[-1 - k % 30 * 60][1]} {prose(rng, 50, 5000)}") for k in range(60)]
+    made += [(100 + k, f"{prose(rng, 20, 5000)} Short{k} W{k} item. {prose(rng, 3, 5000)}") for k in range(6)] + [(200, "short1 w1 and item"), (201, "an odd pair"), (None, "odd, pair")]
+    found = decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["rule"], r["overlap"]) for r in found.collect()}
+    want = {(k, items[-1 - k % 30 * 60][0]) for k in range(60)} | {(100 + k, 5000 + k) for k in range(6)} | {(201, None), (None, None)}
+    assert want <= got.keys() and all(got[100 + k, 5000 + k] == ("exact", 1.0) for k in range(6)) and got[None, None][0] == "exact"
+    assert not [x for x in got if x[0] is None or x[0] >= 100 and x not in want if x[0] is not None]
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -323,6 +363,7 @@ def test_long_items_are_searched_in_pieces(spark):
     made += [(10 + k, prose(rng, 300, 3000)) for k in range(60)]
     found = decontamination.contaminated(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in found.collect()}
+    got = {k: x for k, x in got.items() if k[1]}  # item 0 is a single word
     assert got.keys() == {(k, k) for k in range(1, 7)} | {(7, 6)} and all(got[k, k] == 1 for k in range(1, 7))
     for n in range(1, 400):
         assert {i for lo in decontamination._places(n) for i in range(lo, lo + 64)} >= set(range(n))
