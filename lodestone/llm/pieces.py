@@ -13,8 +13,10 @@ are encoded where they fall and joined to their texts.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 from itertools import repeat
@@ -119,6 +121,12 @@ def load(path: str) -> Model:
     return Model(pieces, first, sp.unk_id(), kind, sp.encode("a", out_type=str)[0].startswith(SEPARATOR))
 
 
+def as_unigram(model: Model) -> Model:
+    """The same pieces as a unigram model: by rule, a piece's chance falls with its place in the file's order (Zipf's law)."""
+    score = {p: -math.log(r + 2) for p, r in model.ranks.items()}
+    return Model([(p, i, score[p]) for p, i, _ in model.pieces], model.bytes_from, model.unknown, "unigram", model.prefix)
+
+
 def _byte_ids(model: Model, c: Column) -> Column:
     """Ids of a character that no piece holds."""
     if model.bytes_from is None:
@@ -392,13 +400,18 @@ class Known:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[rows].astype(np.int32)), pa.array(flat[places]))
 
 
-def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
     """Return ``docs`` with ``ids`` (array of int) added: the encoding of each whole text.
 
     Null and empty texts have no ids. Texts and units of any length are encoded, in time that grows in proportion to them.
     Repeated rows each get theirs; an empty table gives an empty result; an ``ids`` column of the input is replaced,
-    and other columns pass through. Without ``keep_text`` the text itself is left out and never moves.
+    and other columns pass through.
     """
+    return _encoded(docs.drop("ids"), model, frequent, docs.drop("ids").columns, [], "array<int>", lambda ids: ids).withColumnRenamed("__out", "ids")
+
+
+def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], asked: list[str], shape: str, finish: Callable[..., pa.Array]) -> DataFrame:
+    """The columns ``keep`` and ``__out``: ``finish`` of the ids, and of the columns ``asked``, in the worker that makes the ids."""
     pattern, prefix = model.unit, model.prefix
     known = _frequent(docs, model, frequent)
     numbers = docs.sparkSession.sparkContext.broadcast(known["unit"].to_pylist())
@@ -409,16 +422,15 @@ def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: b
         """Each text as numbers of frequent units, and its rare units, which are numbered on from there."""
         find, get = re.compile(pattern).findall, {u: i for i, u in enumerate(numbers.value)}.get
         first, pack = len(numbers.value), zstandard.ZstdCompressor(level=1).compress
-        for batch in texts:
+        for some in (x for batch in texts for x in _slices(batch)):
             codes, rare = [], []
-            for some in _slices(batch):
-                for t in some:
-                    units = _units(t, prefix, find)
-                    c = np.fromiter(map(get, units, repeat(-1)), dtype=np.int32, count=len(units))
-                    gaps, own = np.flatnonzero(c < 0), {}
-                    c[gaps] = [own.setdefault(units[i], first + len(own)) for i in gaps.tolist()]
-                    codes.append(pack(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
-                    rare.append(pack(BREAK.join([u.encode() for u in own])) if own else None)
+            for t in some:
+                units = _units(t, prefix, find)
+                c = np.fromiter(map(get, units, repeat(-1)), dtype=np.int32, count=len(units))
+                gaps, own = np.flatnonzero(c < 0), {}
+                c[gaps] = [own.setdefault(units[i], first + len(own)) for i in gaps.tolist()]
+                codes.append(pack(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
+                rare.append(pack(BREAK.join([u.encode() for u in own])) if own else None)
             yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["codes", "rare"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,26 +443,37 @@ def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT, keep_text: b
             units = pa.array([u for x in own for u in x], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(slot.astype(np.int32)), units], ["__row", "slot", "unit"])
 
-    @F.arrow_udf("array<int>")
-    def fill(codes: pa.Array, found: pa.Array, _: pa.Array) -> pa.Array:
-        open_, out = zstandard.ZstdDecompressor().decompress, []
-        for lo in range(0, len(codes), ROWS):
-            planes = [np.frombuffer(open_(x), np.uint8).reshape(4, -1) for x in codes.slice(lo, ROWS).to_pylist()]
-            out.append(table.value.fill([np.ascontiguousarray(p.T).view(np.int32).reshape(-1) for p in planes], found.slice(lo, ROWS)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+    @F.arrow_udf(shape)
+    def fill(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for codes, found, _, *more in batches:
+            for lo in range(0, len(codes), ROWS):
+                planes = [np.frombuffer(open_(x), np.uint8).reshape(4, -1) for x in codes.slice(lo, ROWS).to_pylist()]
+                ids = table.value.fill([np.ascontiguousarray(p.T).view(np.int32).reshape(-1) for p in planes], found.slice(lo, ROWS))
+                yield finish(ids, *[x.slice(lo, ROWS) for x in more])
 
-    names = [c for c in docs.columns if c != "ids" and (keep_text or c != "text")]
     # rows are dealt by number, so that no text or copy of it crowds a task; both branches below read this one exchange
     dealt = (
         docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", number(text_of()))
-        .select(*names, "__row", F.col("__c.codes").alias("__codes"), F.col("__c.rare").alias("__rare")).repartition("__row")
+        .select(*dict.fromkeys([*keep, *asked]), "__row", F.col("__c.codes").alias("__codes"), F.col("__c.rare").alias("__rare")).repartition("__row")
     )
     wanted = dealt.mapInArrow(unpack, "__row long, slot int, unit string")
     coded = encode_units(wanted.select("unit").distinct(), model)
     found = wanted.join(coded, "unit").groupBy("__row").agg(F.collect_list(F.struct("slot", "ids")).alias("__found"))
     # all columns are asked for, or the exchange would be pruned and made twice
     whole = F.col("__rare").isNotNull()
-    return dealt.join(found, "__row", "left").select(*names, fill("__codes", "__found", whole).alias("ids"))
+    return dealt.join(found, "__row", "left").select(*keep, fill("__codes", "__found", whole, *asked).alias("__out"))
+
+
+def _texts(ids: pa.ListArray, pieces: pa.BinaryArray, lead: bool) -> list[bytes | None]:
+    """The bytes of each list of ids. The pieces taken lie one after the other in one buffer."""
+    known = ids.is_valid().to_pylist()
+    sizes = np.where(known, ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    taken = pieces.take(ids.flatten())
+    at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1][np.concatenate(([0], np.cumsum(sizes)))]
+    raw = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
+    first = [a + bool(lead and z > a and raw[a : a + 1] == b" ") for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [raw[a:z] if ok else None for a, z, ok in zip(first, at[1:].tolist(), known, strict=True)]
 
 
 def decode(coded: DataFrame, model: Model) -> DataFrame:
@@ -462,29 +485,26 @@ def decode(coded: DataFrame, model: Model) -> DataFrame:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(pieces.value, pa.binary())
         for batch in batches:
-            out = []
             for lo in range(0, len(batch), ROWS):
-                ids = batch.slice(lo, ROWS)
-                known = ids.is_valid().to_pylist()
-                sizes = np.where(known, ids.value_lengths().fill_null(0).to_numpy(), 0)
-                # the pieces taken lie one after the other in one buffer
-                taken = table.take(ids.flatten())
-                at = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1][np.concatenate(([0], np.cumsum(sizes)))]
-                raw = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b""
-                for a, z, ok in zip(at[:-1].tolist(), at[1:].tolist(), known, strict=True):
-                    a += bool(lead and z > a and raw[a : a + 1] == b" ")
-                    out.append(raw[a:z].decode("utf-8", "replace") if ok else None)
-            yield pa.array(out, pa.string())
+                yield pa.array([x if x is None else x.decode("utf-8", "replace") for x in _texts(batch.slice(lo, ROWS), table, lead)], pa.string())
 
     return coded.withColumn("decoded", text("ids"))
 
 
-def round_trip(docs: DataFrame, model: Model) -> DataFrame:
+def round_trip(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
     """Return doc_id, n_ids (long), ids, and round_trip: whether they decode to the text, with separators as spaces.
 
-    Only digests of the texts travel with the ids. Null texts count as empty ones, which decode to themselves.
+    A text itself doesn't move, only its digest; ids are decoded where they are made. Null texts count as empty ones,
+    which decode to themselves. Repeated rows each get a row; an empty table gives an empty result.
     """
+    pieces, lead = model.texts(), model.prefix
+
+    def compared(ids: pa.ListArray, digest: pa.Array) -> pa.Array:
+        texts = _texts(ids, pa.array(pieces, pa.binary()), lead)
+        same = [hashlib.md5(t.decode("utf-8", "replace").encode()).hexdigest() == d for t, d in zip(texts, digest.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "same"])
+
     plain = F.md5(F.encode(F.replace(text_of(), F.lit(SEPARATOR), F.lit(" ")), "UTF-8"))
-    coded = encode(docs.select("doc_id", "text", plain.alias("digest")), model, keep_text=False)
-    same = F.md5(F.encode("decoded", "UTF-8")) == F.col("digest")
-    return decode(coded, model).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    digested = docs.select("doc_id", "text", plain.alias("__digest"))
+    coded = _encoded(digested, model, frequent, ["doc_id"], ["__digest"], "struct<ids:array<int>,same:boolean>", compared)
+    return coded.select("doc_id", F.size("__out.ids").cast("long").alias("n_ids"), "__out.ids", F.col("__out.same").alias("round_trip"))

@@ -50,12 +50,22 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-#: A public byte-pair model; any SentencePiece model file will do.
-MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-pair model; the setting names any other SentencePiece model file.
+MODEL_PATH, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.lodestone.sentencepiece.model"
 
 
-def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
-    return pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(model_path))
+def model_path(spark: SparkSession) -> str:
+    return spark.conf.get(MODEL_SETTING, MODEL_PATH)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(model_path(spark)))
+
+
+def sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public pieces as a unigram model, so that every lattice goes through the Viterbi fold."""
+    model = pieces.as_unigram(pieces.load(model_path(spark)))
+    return pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +89,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_quality_model": op10_quality_model,
     "quality_ablations": quality_ablations,
+    "sentencepiece_unigram": sentencepiece_unigram,
 }
 
 
