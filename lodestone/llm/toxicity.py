@@ -9,7 +9,6 @@ highest score is where the offence is.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,48 +66,64 @@ class Model:
         return float(1 - (1 - base) * np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(p.argmax()), float(p.max())
 
 
-def _candidates(rows: list[tuple[str, int]], max_words: int) -> list[str]:
-    """Words that stand in more toxic documents than chance would have it; equal texts count once."""
-    held = [Counter(), Counter()]
-    for text, y in set(rows):
-        held[y].update(terms(text))
-    n = [max(1, sum(1 for _, y in set(rows) if y == k)) for k in (0, 1)]
-    gain = {w: (c / n[1] - held[0][w] / n[0]) / np.sqrt(c / n[1] ** 2 + held[0][w] / n[0] ** 2) for w, c in held[1].items() if c >= 5 and c >= PURE * (c + held[0][w])}
-    return [w for w, z in sorted(gain.items(), key=lambda x: (-x[1], x[0])) if z > 3][:max_words]
+def _candidates(rows: DataFrame, max_words: int) -> list[str]:
+    """Words that stand in more toxic documents than chance would have it, strongest first; equal texts count once."""
 
+    @F.arrow_udf("array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(terms(t.lower())) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    once = rows.select("text", "y").distinct()
+    sizes = {r["y"]: r["n"] for r in once.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clean, toxic = (F.lit(float(sizes.get(k, 0) or 1)) for k in (0, 1))
+    counts = once.select("y", F.explode(held("text")).alias("word")).groupBy("word").agg(F.sum(1 - F.col("y")).alias("c0"), F.sum("y").alias("c1"))
+    gain = (F.col("c1") / toxic - F.col("c0") / clean) / F.sqrt(F.col("c1") / (toxic * toxic) + F.col("c0") / (clean * clean))
+    often = counts.filter((F.col("c1") >= 5) & (F.col("c1") >= PURE * (F.col("c0") + F.col("c1")))).select("word", gain.alias("gain")).filter("gain > 3")
+    return [r["word"] for r in often.orderBy(F.desc("gain"), "word").limit(max_words).collect()]
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """Fit on a bounded sample of labelled rows. Without words that tell the classes apart, every score is near zero."""
-    return train(sorted((r["text"].lower(), r["y"]) for r in labelled(docs, labels, "toxic", max_rows).toLocalIterator()), max_words)
 
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+    """Fit on a bounded sample of labelled rows. Without words that tell the classes apart, every score is near zero.
 
-def train(rows: list[tuple[str, int]], max_words: int = MAX_WORDS, rounds: int = 800, ridge: float = 1e-5) -> Model:
-    """Gradient steps on the likelihood of the document labels."""
+    Texts stay on the executors: words are counted there, and what comes back of a text is its label and, for each
+    sentence that holds candidates, their numbers.
+    """
+    rows = labelled(docs, labels, "toxic", max_rows)
     words = _candidates(rows, max_words)
     if not words:
         return Model(BIAS, {})
-    at = {w: i for i, w in enumerate(words)}
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+
+    @F.arrow_udf("array<array<int>>")
+    def bag(texts: pa.Array) -> pa.Array:
+        at = shared.value
+        own = lambda s: sorted({at[w] for w in terms(s) if w in at})
+        return pa.array([[x for s in SENTENCE.split(t.lower()) if (x := own(s))] for t in texts.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    return train(sorted((r["bag"], r["y"]) for r in rows.select("y", bag("text").alias("bag")).collect()), words)
+
+
+def train(bags: list[tuple[list[list[int]], int]], words: list[str], rounds: int = 800, ridge: float = 1e-5) -> Model:
+    """Gradient steps on the likelihood of the document labels; a bag holds the numbers of the words of each sentence."""
     doc, sent, word, n = [], [], [], 0  # a row of each sentence with a word, and one of each document
-    for d, (text, _) in enumerate(rows):
-        for s in SENTENCE.split(text):
-            own = {at[w] for w in terms(s) if w in at}
-            if own:
-                sent += [n] * len(own)
-                word += own
-                doc.append(d)
-                n += 1
+    for d, (sentences, _) in enumerate(bags):
+        for own in sentences:
+            sent += [n] * len(own)
+            word += own
+            doc.append(d)
+            n += 1
         doc.append(d)
         n += 1
-    doc, sent, word = np.array(doc), np.array(sent), np.array(word)
-    y = np.array([y for _, y in rows], dtype=float)
+    doc, sent, word = np.array(doc), np.array(sent, dtype=int), np.array(word, dtype=int)
+    y = np.array([y for _, y in bags], dtype=float)
     theta = np.concatenate(([BIAS], np.zeros(len(words))))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         z = theta[0] + np.bincount(sent, theta[1 + word], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        q = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(rows))
+        q = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags))
         none = np.exp(q)
-        pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)[doc] * p / len(rows)
+        pull = np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)[doc] * p / len(bags)
         grad = np.concatenate(([pull.sum()], np.bincount(word, pull[sent], minlength=len(words)) + ridge * theta[1:]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -142,4 +157,5 @@ def score(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
+    """Fit on ``labels`` and score ``docs``: what ``score`` returns, and held_out; without usable labels all scores are near zero."""
     return score(docs, fit(docs, labels), limit).withColumn("held_out", held_out())
