@@ -71,8 +71,15 @@ def _ball(fp: Column, radius: int) -> Column:
     return ball
 
 
+def _apart(a: str, b: str, pivots: int) -> Column:
+    """The largest difference of two rows of the pivot tables."""
+    return F.greatest(*[F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(pivots)])
+
+
 def links(nodes: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints ``fp`` within ``limit`` bits of each other."""
+    """Links (a, b) that connect all distinct fingerprints ``fp`` within ``limit`` bits of each other; an odd limit raises."""
+    if limit % 2:
+        raise ValueError("limit must be even")
     n = nodes.count()
     keep = next((k for k in (1, 2, 3) if BITS * k / (limit + k) >= (n + 1).bit_length() + 2), 4)
     refs = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, size=pivots, dtype=np.int64).tolist()
@@ -83,16 +90,14 @@ def links(nodes: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -
     crowds = materialise(crowds)
     few = placed.join(crowds, ["choice", "bits"], "left_anti")
     a, b = few.alias("a"), few.alias("b")
-    apart = F.greatest(*[F.abs(F.get("a.pivots", F.lit(i)) - F.get("b.pivots", F.lit(i))) for i in range(pivots)])
-    pairs = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp")) & (apart <= limit))
+    met = (F.col("a.choice") == F.col("b.choice")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
+    pairs = a.join(b.hint("merge"), met & (_apart("a.pivots", "b.pivots", pivots) <= limit))
     near = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit)
     # two fingerprints are within the limit if and only if a value within half of it of both exists
     many = placed.join(crowds, ["choice", "bits"], "left_semi").select("fp").distinct()
-    if limit % 2:
-        raise ValueError("limit must be even")
     mids = many.select("fp", F.explode(_ball(F.col("fp"), limit // 2)).alias("mid"))
     lows = mids.groupBy("mid").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "low")
-    close = mids.join(lows, "mid").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    close = mids.join(lows.hint("merge"), "mid").filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
     return near.unionByName(close)
 
 
@@ -102,13 +107,13 @@ def near_duplicates(docs: DataFrame, limit: int = 4, pivots: int = 16, crowd: in
     component_id is the smallest doc_id reachable through links of ``limit`` bits or fewer. Texts without words (null
     and empty ones too) have fingerprint zero and are linked like any other. Rows without doc_id take part; a
     component of such rows alone has a null component_id. Repeated rows each get a row; an empty table gives an
-    empty result; only doc_id and text are read.
+    empty result; only doc_id and text are read. ``limit`` must be even, or ValueError is raised.
     """
     prints = materialise(fingerprints(docs))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), limit, pivots, crowd))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
+    of = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(of.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
