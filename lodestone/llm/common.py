@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,19 +16,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share. Where the session names none, a folder of our own, on a single machine only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Results are read lazily, so their files stay; they are named ``lodestone-*`` and go with the folder.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)

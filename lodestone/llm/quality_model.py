@@ -168,4 +168,5 @@ def classify(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
+    """Fit on ``labels`` and score ``docs``: what ``classify`` returns, and held_out; without usable labels all scores are one half."""
     return classify(docs, fit(docs, labels), limit).withColumn("held_out", held_out())

@@ -158,6 +158,12 @@ def test_links_connect_dense_balls(spark, crowd):
     assert {v: roots.get(v, v) for v in plain} == plain
 
 
+def test_components_of_a_hub(spark):
+    links = spark.createDataFrame([(500, i) for i in range(1, 3000) if i != 500] + [(5000, 5001)], "a long, b long")
+    got = {r["node"]: r["root"] for r in graph.components(links).collect()}
+    assert got == {**dict.fromkeys(range(1, 3000), 1), 5000: 5000, 5001: 5000}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in graph.components(links).collect()}
@@ -207,8 +213,7 @@ def test_windows_over_random_fragments():
         for j, (p, n, c) in enumerate(zip(place, windows, cuts, strict=True)):
             for i in range(n):
                 if p - i >= 0:
-                    in_reach = held[p - i, c[i : i + 8]] > 1
-                    assert got[p - i, j] or not in_reach
+                    assert got[p - i, j] == (held[p - i, c[i : i + 8]] > 1)
 
 
 def test_quality_rules(docs, empty):
@@ -433,6 +438,41 @@ def test_toxicity_of_clean_texts_of_any_length(spark):
     assert weighed.score("w1. " * 50_000 + "mild.")[0] < 0.01 and weighed.score("w1. " * 50_000 + "vile.")[1] == 50_000
 
 
+def test_toxicity_scores_against_a_row_loop(spark, docs):
+    made, table, labels = labelled_corpus(spark)
+    model = toxicity.fit(table, labels)
+    assert {"vile", "nasty", "rotten"} <= model.words.keys()
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for r in toxicity.score(table.unionByName(docs.select("doc_id", "text")), model).collect():
+        none, worst = 1 - sigmoid(model.bias), None
+        for k, sentence in enumerate(re.split(r"[.!?\n]+", (r["text"] or "").lower())):
+            held = {x for w in re.findall(r"[^\W\d_]+", sentence) for x in (w, *([w[:4] + "*"] if len(w) > 4 else []), *([w[:5] + "*"] if len(w) > 5 else []))}
+            own = [model.words[x] for x in held if x in model.words]
+            if own:
+                p = sigmoid(model.bias + sum(own))
+                none *= 1 - p
+                worst = max(worst or (p, k), (p, k), key=lambda x: (x[0], -x[1]))
+        assert abs(r["score"] - (1 - none)) < 1e-9 and r["predicted"] == int(1 - none >= 0.3)
+        assert r["sentence"] == (worst[1] if r["predicted"] else None)
+
+
+def test_quality_scores_against_a_row_loop(spark, docs):
+    made, table, labels = labelled_corpus(spark)
+    model = quality_model.fit(table, labels)
+    for r in quality_model.classify(table.unionByName(docs.select("doc_id", "text")), model).collect():
+        x = quality_model.features(r["text"] or "")
+        bin_of = lambda edges, v: sum(e <= v for e in edges)
+        z = model.base + sum(t[bin_of(model.edges[j], x[j])] for j, t in enumerate(model.tables))
+        z += sum(t[bin_of(model.pair_edges[i], x[i]), bin_of(model.pair_edges[j], x[j])] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_ties_of_feature_cuts():
+    x = np.array([[0.0, 1.0]] * 50 + [[2.0, 1.0]] * 50)
+    model = quality_model.train(x, x[:, 0] / 2)
+    assert (model.score(x) > 0.5).tolist() == [False] * 50 + [True] * 50
+
+
 def test_quality_on_held_out_rows(spark, empty):
     made, table, labels = labelled_corpus(spark)
     got = {r["doc_id"]: r for r in quality_model.quality(odd(table), labels).collect()}
@@ -502,8 +542,8 @@ def test_units_of_a_hundred_thousand_letters(spark, model):
 
 
 def test_rows_are_coded_once(docs, model):
-    plan = pieces.encode(docs.select("doc_id", "text"), model, keep_text=False)
-    plan.collect()
+    plan = pieces.round_trip(docs, model)
+    assert all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in plan.collect())
     assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
 
 
@@ -538,6 +578,10 @@ def test_sharding(docs, empty):
     for s in load:
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert all(r["law"] == "bytes" and r["grown_shard"] is None for r in got)
+    rng = random.Random(19)
+    many = docs.sparkSession.createDataFrame([(i, prose(rng, rng.randint(5, 60))) for i in range(1500)], "doc_id long, text string")
+    sizes = sharding.shard_documents(many).groupBy("shard").sum("size").collect()
+    assert len(sizes) == 24 and max(r[1] for r in sizes) - min(r[1] for r in sizes) <= 60 * 5
     assert sharding.shard_documents(empty).count() == 0
 
 
