@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's ``docs``. All but the last return the columns of documents.
+
+All stages take null texts as empty ones and keep rows without doc_id and rows that share one as rows of their own; an
+empty table gives an empty result; columns other than those of documents are left out. An empty ``labels`` or ``benchmark``
+rejects nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, line_dedup, pieces, simhash, toxicity
 from lodestone.llm.common import materialise
-from lodestone.llm.registry import MODEL_PATH, table
+from lodestone.llm.registry import model_path, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -46,7 +50,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of the whole text, and whether they decode to it."""
-    return pieces.round_trip(docs, pieces.load(MODEL_PATH))
+    return pieces.round_trip(docs, pieces.load(model_path(spark)))
 
 
 STAGES = [
