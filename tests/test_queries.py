@@ -34,6 +34,8 @@ def test_entry_works_without_the_corpus_package(tmp_path):
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 40"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
