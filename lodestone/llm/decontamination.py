@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, slices, text_of
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of a block; a passage is two blocks, and longer items are searched in pieces of two blocks, one at each block.
@@ -123,7 +123,7 @@ def _hits(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for batch in batches:
+        for batch in slices(batches):
             places, ids, sizes = [], [], []
             for t in batch.column(1).to_pylist():
                 own = np.array([get(w, -1) for w in tokens(t)], dtype=np.int32)
@@ -160,11 +160,6 @@ class Batch:
         return cls(sizes, flat, np.concatenate([*ids, np.zeros(0, np.int32)]), row, first[row] + flat // width, first, int(first[-1]))
 
 
-def _small(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
-
-
 def _sums(block: np.ndarray, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray, blocks: int) -> np.ndarray:
     """The sum of weighted vectors in each block."""
     out = np.zeros((blocks, vectors.shape[1]), dtype=vectors.dtype)
@@ -250,9 +245,8 @@ def _total(hits: DataFrame, partial, shape: tuple[int, int]) -> np.ndarray:
         from pyspark import TaskContext
 
         total = np.zeros(shape)
-        for batch in batches:
-            for small in _small(batch):
-                total += partial(small)
+        for small in slices(batches, 256):
+            total += partial(small)
         starts = range(0, shape[0], ROWS)
         spread = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([
@@ -327,7 +321,7 @@ def _stand_whole(hits: DataFrame, items: list[tuple[int | None, list[int]]]) ->
     held = hits.sparkSession.sparkContext.broadcast(Whole(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for y in batches for x in _small(y)):
+        for batch in slices(batches, 256):
             out = []
             for d, at, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "ids")), strict=True):
                 got = held.value.find(np.frombuffer(at, np.int32), np.frombuffer(ids, np.int32))
@@ -396,7 +390,7 @@ def _latent(hits: DataFrame, items: list[Item], words: int, cosine: float, copy:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         telling, weight, latent, targets, owner, member, items = space.value
-        for batch in (x for y in batches for x in _small(y)):
+        for batch in slices(batches, 256):
             b, out = Batch.of(batch, BLOCK), []
             keep = telling[b.ids]
             block, ids = b.block[keep], b.ids[keep]

@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, slices, text_of
 
 #: Bits of a segment's filter, and lines a segment is sized for.
 SEGMENT_BITS, SEGMENT_LINES = 1 << 23, 1 << 18
@@ -97,7 +96,7 @@ def _repeats(texts: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
 
     def candidates(held: Bloom | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, 2000):
                 keys, ids, lines = [], [], []
                 for t, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     wanted, place = _wanted(t, min_chars), {}
@@ -136,7 +135,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     texts = docs.select(F.encode(text_of(), "UTF-8").alias("body"), F.col("doc_id").cast("long").alias("doc_id"))
     repeats = materialise(_repeats(texts, min_docs, min_chars))
     size = repeats.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
-    out = "text string, n_lines long, n_dropped long"
+    out = "text: string, n_lines: bigint, n_dropped: bigint"
+
+    def packed(rows: list[tuple[str, int, int]]) -> pa.Array:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]
+        return pa.StructArray.from_arrays(columns, ["text", "n_lines", "n_dropped"])
 
     def strip(body: bytes, gone: dict, doc: object) -> tuple[bytes, int, int]:
         lines, keys = body.split(b"\n"), keys_of(body)
@@ -147,10 +150,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
         gone = {bytes(r["key"]): tuple(r["first"]) for r in repeats.collect()}
         shared = docs.sparkSession.sparkContext.broadcast(gone)
 
-        @F.pandas_udf(out)
-        def cut(body: pd.Series, doc: pd.Series) -> pd.DataFrame:
-            ids = doc.astype(object).where(doc.notna(), None)
-            return pd.DataFrame([strip(b, shared.value, d) for b, d in zip(body, ids, strict=True)], columns=["text", "n_lines", "n_dropped"])
+        @F.arrow_udf(f"struct<{out}>")
+        def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for body, doc in batches:
+                for b, d in zip(slices([body]), slices([doc]), strict=True):
+                    yield packed([strip(x, shared.value, i) for x, i in zip(b.to_pylist(), d.to_pylist(), strict=True)])
 
         done = docs.withColumn("__cut", cut(F.encode(text_of(), "UTF-8"), F.col("doc_id").cast("long")))
     else:
@@ -163,11 +167,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
         pairs = texts.select(F.md5("body").alias("__text"), "body").dropDuplicates(["__text"]).mapInArrow(own, "__text string, key binary")
         lists = pairs.join(repeats, "key").groupBy("__text").agg(F.collect_list(F.struct("key", "first")).alias("__gone"))
 
-        @F.pandas_udf(out)
-        def cut_by(body: pd.Series, doc: pd.Series, lists: pd.Series) -> pd.DataFrame:
-            ids = doc.astype(object).where(doc.notna(), None)
-            held = [{bytes(r["key"]): (r["first"]["doc_id"], r["first"]["line"]) for r in (x if x is not None else [])} for x in lists]
-            return pd.DataFrame([strip(b, g, d) for b, g, d in zip(body, held, ids, strict=True)], columns=["text", "n_lines", "n_dropped"])
+        @F.arrow_udf(f"struct<{out}>")
+        def cut_by(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            held = lambda x: {r["key"]: (r["first"]["doc_id"], r["first"]["line"]) for r in x or ()}
+            for body, doc, lists in batches:
+                for b, d, g in zip(slices([body]), slices([doc]), slices([lists]), strict=True):
+                    yield packed([strip(x, held(y), i) for x, i, y in zip(b.to_pylist(), d.to_pylist(), g.to_pylist(), strict=True)])
 
         keyed = docs.withColumn("__text", F.md5(F.encode(text_of(), "UTF-8"))).join(lists, "__text", "left")
         done = keyed.withColumn("__cut", cut_by(F.encode(text_of(), "UTF-8"), F.col("doc_id").cast("long"), F.col("__gone")))

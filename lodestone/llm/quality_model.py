@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 from .toxicity import held_out, labelled
 
 #: Labelled rows that a model is fitted on, at most.
@@ -160,7 +160,7 @@ def classify(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
 
     @F.arrow_udf("double")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for batch in slices(texts):
             x = np.array([features(t) for t in batch.to_pylist()], dtype=float).reshape(-1, len(FEATURES))
             yield pa.array(shared.value.score(x), pa.float64())
 

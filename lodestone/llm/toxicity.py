@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 #: Labelled rows that a model is fitted on, at most; and words that it weighs, at most.
 MAX_ROWS, MAX_WORDS = 8000, 2000
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
     @F.arrow_udf(shape)
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = shared.value
-        for batch in texts:
+        for batch in slices(texts):
             out = []
             for t in batch.to_pylist():
                 s, i, _ = held.score(t)
