@@ -356,7 +356,11 @@ def _frequent(docs: DataFrame, model: Model, most: int) -> pa.Table:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = re.compile(pattern).findall, Counter()
-        hand_on = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+
+        def hand_on() -> pa.RecordBatch:
+            often = {u: n for u, n in seen.items() if n > 1}
+            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], ["unit", "n"])
+
         for batch in batches:
             for texts in _slices(batch.column(0)):
                 for t in texts:
@@ -368,28 +372,39 @@ def _frequent(docs: DataFrame, model: Model, most: int) -> pa.Table:
 
     some = docs.select(text_of().alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(SHARE)) == 0)
     counts = some.mapInArrow(count, "unit string, n long").filter(F.length("unit") <= SHORT).groupBy("unit").agg(F.sum("n").alias("n"))
-    often = materialise(counts.orderBy(F.desc("n"), "unit").limit(most).select("unit"))
-    return encode_units(often, model).toArrow()
+    often = materialise(counts.orderBy(F.desc("n"), "unit").limit(most))
+    # in order, so that most words of a text have small numbers
+    return encode_units(often.select("unit"), model).join(often, "unit").orderBy(F.desc("n"), "unit").select("unit", "ids").toArrow()
 
 
 class Known:
-    """Encodings of the frequent units as flat arrays: where each one starts, how many ids it has, and all ids."""
+    """Encodings of the frequent units as flat arrays: where each one starts, how many ids it has, and all ids.
+
+    ``width`` is the bytes of an id in the encodings of other units.
+    """
 
-    def __init__(self, coded: pa.ChunkedArray) -> None:
+    def __init__(self, coded: pa.ChunkedArray, width: int) -> None:
+        self.width = width
         chunks = [c for c in coded.chunks if len(c)]
         self.sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in chunks] or [np.zeros(0)]).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids = np.concatenate([c.flatten().to_numpy() for c in chunks] or [np.zeros(0)]).astype(np.int32)
 
     def fill(self, codes: list[np.ndarray], found: pa.ListArray) -> pa.ListArray:
-        """Ids of texts: codes below the number of frequent units mean these, the others the text's own rare units."""
+        """Ids of texts: codes below the number of frequent units mean these, the others the text's own rare units.
+
+        What was found of a text is one binary a rare unit: its number in the text in four bytes, then its ids.
+        """
         n, own = len(self.sizes), found.flatten()
-        held = np.where(found.is_valid().to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False), 0).astype(np.int64)
-        order = np.lexsort((own.field("slot").to_numpy(), np.repeat(np.arange(len(held)), held)))
-        lists = own.field("ids").take(pa.array(order))
-        sizes = lists.value_lengths().to_numpy().astype(np.int64)
-        every, flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, lists.flatten().to_numpy().astype(np.int32)))
-        starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        held = np.where(found.is_valid().to_numpy(zero_copy_only=False), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        cut = (np.frombuffer(own.buffers()[1], np.int32)[own.offset : own.offset + len(own) + 1] if len(own) else np.zeros(1, np.int32)).astype(np.int64) // self.width
+        data = np.frombuffer(own.buffers()[2] if len(own) else b"", f">u{self.width}").astype(np.int64)
+        head = 4 // self.width
+        slot = sum(data[cut[:-1] + i] << 8 * self.width * (head - 1 - i) for i in range(head))
+        order = np.lexsort((slot, np.repeat(np.arange(len(held)), held)))
+        every = np.concatenate((self.sizes, (np.diff(cut) - head)[order]))
+        starts = np.concatenate((self.starts, len(self.ids) + (cut[:-1] + head)[order]))
+        flat = np.concatenate((self.ids, data.astype(np.int32)))
         words = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
         code = np.concatenate([*codes, np.zeros(0, np.int32)]).astype(np.int64)
         code += np.where(code >= n, np.repeat(np.cumsum(held) - held, words), 0)
@@ -400,6 +415,11 @@ class Known:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends))[rows].astype(np.int32)), pa.array(flat[places]))
 
 
+def _packed(number: Column, width: int) -> Column:
+    """A number's bytes in hexadecimal, highest first."""
+    return F.lpad(F.hex(number), 2 * width, "0")
+
+
 def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
     """Return ``docs`` with ``ids`` (array of int) added: the encoding of each whole text.
 
@@ -413,9 +433,9 @@ def encode(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame
 def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], asked: list[str], shape: str, finish: Callable[..., pa.Array]) -> DataFrame:
     """The columns ``keep`` and ``__out``: ``finish`` of the ids, and of the columns ``asked``, in the worker that makes the ids."""
     pattern, prefix = model.unit, model.prefix
-    known = _frequent(docs, model, frequent)
+    known, width = _frequent(docs, model, frequent), 2 if len(model.texts()) <= 1 << 16 else 4
     numbers = docs.sparkSession.sparkContext.broadcast(known["unit"].to_pylist())
-    table = docs.sparkSession.sparkContext.broadcast(Known(known["ids"]))
+    table = docs.sparkSession.sparkContext.broadcast(Known(known["ids"], width))
 
     @F.arrow_udf("struct<codes:binary,rare:binary>")
     def number(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -434,14 +454,18 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
             yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["codes", "rare"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rare units of a batch, once each, with the rows that hold them and their numbers there."""
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            own = [[] if x is None else open_(x).split(BREAK) for x in batch.column("__rare").to_pylist()]
-            sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-            slot = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            row = np.repeat(batch.column("__row").to_numpy(), sizes)
-            units = pa.array([u for x in own for u in x], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(slot.astype(np.int32)), units], ["__row", "slot", "unit"])
+            held: dict[bytes, list[tuple[int, int]]] = {}
+            for row, x in zip(batch.column("__row").to_pylist(), batch.column("__rare").to_pylist(), strict=True):
+                for slot, u in enumerate(open_(x).split(BREAK) if x is not None else ()):
+                    held.setdefault(u, []).append((row, slot))
+            sizes = np.fromiter(map(len, held.values()), dtype=np.int64, count=len(held))
+            places = np.array([p for x in held.values() for p in x], dtype=np.int64).reshape(-1, 2)
+            pairs = pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1].astype(np.int32))], ["row", "slot"])
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(ends, pairs)], ["unit", "places"])
 
     @F.arrow_udf(shape)
     def fill(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -457,9 +481,12 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
         docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", number(text_of()))
         .select(*dict.fromkeys([*keep, *asked]), "__row", F.col("__c.codes").alias("__codes"), F.col("__c.rare").alias("__rare")).repartition("__row")
     )
-    wanted = dealt.mapInArrow(unpack, "__row long, slot int, unit string")
-    coded = encode_units(wanted.select("unit").distinct(), model)
-    found = wanted.join(coded, "unit").groupBy("__row").agg(F.collect_list(F.struct("slot", "ids")).alias("__found"))
+    wanted = dealt.mapInArrow(unpack, "unit string, places array<struct<row:bigint,slot:int>>")
+    ids = F.array_join(F.transform("ids", lambda i: _packed(i, width)), "").alias("packed")
+    coded = encode_units(wanted.select("unit").distinct(), model).select("unit", ids)
+    placed = wanted.join(coded, "unit").select(F.inline("places"), "packed")
+    entry = F.unhex(F.concat(_packed(F.col("slot"), 4), "packed"))
+    found = placed.select(F.col("row").alias("__row"), entry.alias("entry")).groupBy("__row").agg(F.collect_list("entry").alias("__found"))
     # all columns are asked for, or the exchange would be pruned and made twice
     whole = F.col("__rare").isNotNull()
     return dealt.join(found, "__row", "left").select(*keep, fill("__codes", "__found", whole, *asked).alias("__out"))
@@ -501,10 +528,10 @@ def round_trip(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataF
 
     def compared(ids: pa.ListArray, digest: pa.Array) -> pa.Array:
         texts = _texts(ids, pa.array(pieces, pa.binary()), lead)
-        same = [hashlib.md5(t.decode("utf-8", "replace").encode()).hexdigest() == d for t, d in zip(texts, digest.to_pylist(), strict=True)]
+        same = [hashlib.md5(t.decode("utf-8", "replace").encode()).digest() == d for t, d in zip(texts, digest.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "same"])
 
-    plain = F.md5(F.encode(F.replace(text_of(), F.lit(SEPARATOR), F.lit(" ")), "UTF-8"))
+    plain = F.unhex(F.md5(F.encode(F.replace(text_of(), F.lit(SEPARATOR), F.lit(" ")), "UTF-8")))
     digested = docs.select("doc_id", "text", plain.alias("__digest"))
     coded = _encoded(digested, model, frequent, ["doc_id"], ["__digest"], "struct<ids:array<int>,same:boolean>", compared)
     return coded.select("doc_id", F.size("__out.ids").cast("long").alias("n_ids"), "__out.ids", F.col("__out.same").alias("round_trip"))
