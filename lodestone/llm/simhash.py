@@ -2,8 +2,8 @@
 
 Each distinct fingerprint carries its Hamming distances to many reference fingerprints, the pivots. By the triangle
 inequality two fingerprints at distance d differ by at most d in each coordinate, so a pair whose largest coordinate
-difference is over the limit is discarded before it is verified. Distances to a random pivot gather closely around
-half the bits, so they give no key to join on: pairs are met in buckets of equal bit blocks, of which pairs within
+difference is over the limit is discarded before it is verified. Distances to a pivot gather closely around half the
+bits, so they give no key to join on: pairs are met in buckets of equal bit blocks, of which pairs within
 the limit share at least one, whatever bits differ. A bucket over ``crowd`` members is not paired at all: its members
 are linked through midpoints, the values within half the limit of each, which is exact as well.
 """
@@ -23,6 +23,8 @@ from .common import materialise, slices, text_of
 from .graph import components
 
 BITS, WORDS = 64, 4
+#: Reference fingerprints, and the fingerprints of the data that they are chosen from.
+PIVOTS, SAMPLE = 32, 1024
 
 
 def fingerprint(text: bytes) -> int:
@@ -73,17 +75,31 @@ def _ball(fp: Column, radius: int) -> Column:
 
 def _apart(a: str, b: str, pivots: int) -> Column:
     """The largest difference of two rows of the pivot tables."""
-    return F.greatest(*[F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(pivots)])
+    return F.greatest(F.lit(0), *[F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in range(pivots)])
 
 
-def links(nodes: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -> DataFrame:
+def references(nodes: DataFrame, pivots: int) -> list[int]:
+    """Reference fingerprints: of SAMPLE fingerprints of the data, those that lie farthest from each other, one by one.
+
+    They only decide which pairs are discarded early. Fewer than ``pivots`` fingerprints are used again.
+    """
+    some = [r["fp"] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] or [0]
+    left = np.array(some, dtype=np.int64).view(np.uint64)
+    apart, chosen = np.full(len(left), BITS + 1, dtype=np.int64), []
+    for _ in range(pivots):
+        k = int(apart.argmax())
+        chosen.append(some[k])
+        apart = np.minimum(apart, np.bitwise_count(left ^ left[k]))
+    return chosen
+
+
+def links(nodes: DataFrame, limit: int = 4, pivots: int = PIVOTS, crowd: int = 64) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints ``fp`` within ``limit`` bits of each other; an odd limit raises."""
     if limit % 2:
         raise ValueError("limit must be even")
     n = nodes.count()
     keep = next((k for k in (1, 2, 3) if BITS * k / (limit + k) >= (n + 1).bit_length() + 2), 4)
-    refs = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, size=pivots, dtype=np.int64).tolist()
-    table = nodes.withColumn("pivots", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in refs]))
+    table = nodes.withColumn("pivots", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in references(nodes, pivots)]))
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(_masks(limit, keep))])
     placed = table.select("fp", "pivots", F.inline(keys))
     crowds = placed.groupBy("choice", "bits").count().filter(F.col("count") > crowd).select("choice", "bits")
@@ -101,7 +117,7 @@ def links(nodes: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -
     return near.unionByName(close)
 
 
-def near_duplicates(docs: DataFrame, limit: int = 4, pivots: int = 16, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, limit: int = 4, pivots: int = PIVOTS, crowd: int = 64) -> DataFrame:
     """Return doc_id, fingerprint (16 hex digits) and component_id for every row.
 
     component_id is the smallest doc_id reachable through links of ``limit`` bits or fewer. Texts without words (null
