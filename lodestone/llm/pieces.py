@@ -29,14 +29,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, text_of
+from .common import let, materialise, slices, text_of
 
 SEPARATOR = "▁"
 #: Frequent units whose encodings are broadcast, their characters at most, and the share of rows that they are chosen from.
-FREQUENT, SHORT, SHARE = 250_000, 32, 16
+FREQUENT, SHORT, SHARE = 400_000, 32, 16
 #: Distinct units that a task counts before it hands them on.
 HELD = 100_000
-#: Rows that are unpacked at once.
+#: Rows that are decoded at once.
 ROWS = 200
 #: A byte that no UTF-8 text holds.
 BREAK = b"\xff"
@@ -196,16 +196,17 @@ def _bits(b: Column, n: Column) -> Column:
 
 
 def _lattice(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, e): the edges of short units of a byte-pair model, best first. An edge is one long: rank, place, length, id."""
+    """The columns of ``units`` and e: the edges of short units of a byte-pair model, best first. An edge is one long: rank, place, length, id."""
     # bounded by the model file, whatever the corpus holds; the empty piece, first in order, keeps units that match nothing else
     table = units.sparkSession.createDataFrame([("", -1 << 40), *((p, model.ranks[p] << 32 | i) for p, i, _ in model.pieces)], "piece string, code long")
     n = F.length("unit")
-    begun = units.select("unit", F.explode(F.sequence(F.lit(0), n)).alias("s"))
+    own = units.columns
+    begun = units.select(*own, F.explode(F.sequence(F.lit(0), n)).alias("s"))
     size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
-    parts = begun.select("unit", "s", size).select("unit", "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    parts = begun.select(*own, "s", size).select(*own, "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
     place = F.shiftleft(F.col("s").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 20))
-    edges = parts.join(F.broadcast(table), "piece").select("unit", F.col("code").bitwiseOR(place).alias("edge"))
-    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("e"))
+    edges = parts.join(F.broadcast(table), "piece").select(*own, F.col("code").bitwiseOR(place).alias("edge"))
+    return edges.groupBy(*own).agg(F.sort_array(F.collect_list("edge")).alias("e"))
 
 
 def _short(units: DataFrame, model: Model) -> DataFrame:
@@ -229,7 +230,7 @@ def _short(units: DataFrame, model: Model) -> DataFrame:
         whole = lambda x: F.when(F.size(x) == F.bit_count(b) - 1, F.transform(x, lambda i: i.bitwiseAND(F.lit(0xFFFFF)).cast("int"))).otherwise(slow(b))
         return let(in_order, whole)
 
-    return _lattice(units, model).select("unit", let(_merged(F.col("e"), n, model), ids).alias("ids"))
+    return _lattice(units, model).select(*units.columns, let(_merged(F.col("e"), n, model), ids).alias("ids"))
 
 
 def _long_edges(units: DataFrame, model: Model) -> DataFrame:
@@ -316,8 +317,10 @@ def _general(units: DataFrame, model: Model) -> DataFrame:
     """Units of any length, and those of unigram models, in time that grows in proportion to their length."""
     if model.kind == "bpe" and 2 * model.longest > MASK:
         raise ValueError(f"a piece of a byte-pair model has more than {MASK // 2} characters")
-    keyed = units.select(F.md5(F.encode("unit", "UTF-8")).alias("key"), "unit")
-    edges = _long_edges(keyed, model)
+    # distinct rows and edges as they are: an exchange of all columns, which every branch below reads; keys are never null,
+    # or a filter would be pushed below it
+    keyed = units.withColumn("key", F.coalesce(F.md5(F.encode("unit", "UTF-8")), F.lit(""))).distinct()
+    edges = _long_edges(keyed.select("key", "unit"), model).distinct()
     edges = _followed(edges, model) if model.kind == "bpe" else edges.withColumn("before", F.lit(-1).cast("long"))
     raw = F.when(F.col("id") < 0, F.col("piece")).alias("raw")
     into = edges.groupBy("key", "t").agg(F.collect_list(F.struct("cost", "k", "id", "before", raw)).alias("edges"))
@@ -325,14 +328,17 @@ def _general(units: DataFrame, model: Model) -> DataFrame:
     lattice = blocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("b", F.col("x.edges").alias("x")))).alias("blocks"))
     one = lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_byte_ids(model, x["raw"]))
     path = let(_viterbi(F.col("blocks.x"), model.longest), lambda best: _path(best, F.size(best)))
-    return keyed.join(lattice.select("key", F.flatten(F.transform(path, one)).alias("ids")), "key").select("unit", "ids")
+    return keyed.join(lattice.select("key", F.flatten(F.transform(path, one)).alias("ids")), "key").select(*units.columns, "ids")
 
 
-def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, ids) for a table of distinct units, none of them empty."""
+def encode_units(units: DataFrame, model: Model, n: Column | None = None) -> DataFrame:
+    """``units`` with ids, for a table of distinct units, none of them empty; further columns have one value a unit.
+
+    ``n`` is the length of a unit, if the table knows it already.
+    """
     if model.kind != "bpe" or len(model.texts()) > 1 << 20:
         return _general(units, model)
-    short = F.length("unit") <= MASK
+    short = (F.length("unit") if n is None else n) <= MASK
     return _short(units.filter(short), model).unionByName(_general(units.filter(~short), model))
 
 
@@ -342,11 +348,6 @@ def _units(text: str, model_prefix: bool, find) -> list[str]:
     return find((SEPARATOR if model_prefix else "") + text.replace(" ", SEPARATOR))
 
 
-def _slices(batch: pa.Array) -> Iterator[list]:
-    for lo in range(0, len(batch), ROWS):
-        yield batch.slice(lo, ROWS).to_pylist()
-
-
 def _frequent(docs: DataFrame, model: Model, most: int) -> pa.Table:
     """The most frequent short units of a share of the rows, with their encodings: ``most`` units of SHORT characters at most.
 
@@ -358,12 +359,11 @@ def _frequent(docs: DataFrame, model: Model, most: int) -> pa.Table:
         find, seen = re.compile(pattern).findall, Counter()
 
         def hand_on() -> pa.RecordBatch:
-            often = {u: n for u, n in seen.items() if n > 1}
-            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], ["unit", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
         for batch in batches:
-            for texts in _slices(batch.column(0)):
-                for t in texts:
+            for texts in slices([batch.column(0)]):
+                for t in texts.to_pylist():
                     seen.update(_units(t, prefix, find))
                 if len(seen) > HELD:
                     yield hand_on()
@@ -442,9 +442,9 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
         """Each text as numbers of frequent units, and its rare units, which are numbered on from there."""
         find, get = re.compile(pattern).findall, {u: i for i, u in enumerate(numbers.value)}.get
         first, pack = len(numbers.value), zstandard.ZstdCompressor(level=1).compress
-        for some in (x for batch in texts for x in _slices(batch)):
+        for some in slices(texts):
             codes, rare = [], []
-            for t in some:
+            for t in some.to_pylist():
                 units = _units(t, prefix, find)
                 c = np.fromiter(map(get, units, repeat(-1)), dtype=np.int32, count=len(units))
                 gaps, own = np.flatnonzero(c < 0), {}
@@ -454,18 +454,15 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
             yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["codes", "rare"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rare units of a batch, once each, with the rows that hold them and their numbers there."""
+        """The rare units of each row, and their numbers there."""
         open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            held: dict[bytes, list[tuple[int, int]]] = {}
-            for row, x in zip(batch.column("__row").to_pylist(), batch.column("__rare").to_pylist(), strict=True):
-                for slot, u in enumerate(open_(x).split(BREAK) if x is not None else ()):
-                    held.setdefault(u, []).append((row, slot))
-            sizes = np.fromiter(map(len, held.values()), dtype=np.int64, count=len(held))
-            places = np.array([p for x in held.values() for p in x], dtype=np.int64).reshape(-1, 2)
-            pairs = pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1].astype(np.int32))], ["row", "slot"])
-            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(ends, pairs)], ["unit", "places"])
+        for batch in slices(batches, 2000):
+            own = [[] if x is None else open_(x).split(BREAK) for x in batch.column("__rare").to_pylist()]
+            sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+            slot = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = np.repeat(batch.column("__row").to_numpy(), sizes)
+            units = pa.array([u for x in own for u in x], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([units, pa.array(row), pa.array(slot.astype(np.int32))], ["unit", "row", "slot"])
 
     @F.arrow_udf(shape)
     def fill(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -481,10 +478,13 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
         docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__c", number(text_of()))
         .select(*dict.fromkeys([*keep, *asked]), "__row", F.col("__c.codes").alias("__codes"), F.col("__c.rare").alias("__rare")).repartition("__row")
     )
-    wanted = dealt.mapInArrow(unpack, "unit string, places array<struct<row:bigint,slot:int>>")
+    # one exchange by unit serves short and long units and the join back: places are asked for in all of them, and lengths
+    # are aggregated, or columns and filters would be pushed below the exchange and it would be made again
+    wanted = dealt.mapInArrow(unpack, "unit string not null, row long not null, slot int not null").repartition("unit").select("unit", F.struct("row", "slot").alias("place"))
+    first = wanted.groupBy("unit").agg(F.min("place").alias("first"), F.max(F.length("unit")).alias("n"))
     ids = F.array_join(F.transform("ids", lambda i: _packed(i, width)), "").alias("packed")
-    coded = encode_units(wanted.select("unit").distinct(), model).select("unit", ids)
-    placed = wanted.join(coded, "unit").select(F.inline("places"), "packed")
+    coded = encode_units(first, model, F.when(F.col("first").isNotNull(), F.col("n"))).select(F.col("unit").alias("own"), "first", ids)
+    placed = wanted.join(coded, (F.col("unit") == F.col("own")) & (F.col("first") <= F.col("place"))).select("place.row", "place.slot", "packed")
     entry = F.unhex(F.concat(_packed(F.col("slot"), 4), "packed"))
     found = placed.select(F.col("row").alias("__row"), entry.alias("entry")).groupBy("__row").agg(F.collect_list("entry").alias("__found"))
     # all columns are asked for, or the exchange would be pruned and made twice
