@@ -434,14 +434,15 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
     """The columns ``keep`` and ``__out``: ``finish`` of the ids, and of the columns ``asked``, in the worker that makes the ids."""
     pattern, prefix = model.unit, model.prefix
     known, width = _frequent(docs, model, frequent), 2 if len(model.texts()) <= 1 << 16 else 4
-    numbers = docs.sparkSession.sparkContext.broadcast(known["unit"].to_pylist())
+    # as one binary: a worker that waits for its next task holds no table of words
+    numbers = docs.sparkSession.sparkContext.broadcast(BREAK.join([u.encode() for u in known["unit"].to_pylist()]))
     table = docs.sparkSession.sparkContext.broadcast(Known(known["ids"], width))
 
     @F.arrow_udf("struct<codes:binary,rare:binary>")
     def number(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         """Each text as numbers of frequent units, and its rare units, which are numbered on from there."""
-        find, get = re.compile(pattern).findall, {u: i for i, u in enumerate(numbers.value)}.get
-        first, pack = len(numbers.value), zstandard.ZstdCompressor(level=1).compress
+        known = {u.decode(): i for i, u in enumerate(numbers.value.split(BREAK) if numbers.value else ())}
+        find, get, first, pack = re.compile(pattern).findall, known.get, len(known), zstandard.ZstdCompressor(level=1).compress
         for some in slices(texts):
             codes, rare = [], []
             for t in some.to_pylist():
@@ -452,6 +453,8 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
                 codes.append(pack(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes()))
                 rare.append(pack(BREAK.join([u.encode() for u in own])) if own else None)
             yield pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], ["codes", "rare"])
+        del known, get
+        pa.default_memory_pool().release_unused()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rare units of each row, and their numbers there."""
@@ -463,6 +466,7 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
             row = np.repeat(batch.column("__row").to_numpy(), sizes)
             units = pa.array([u for x in own for u in x], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([units, pa.array(row), pa.array(slot.astype(np.int32))], ["unit", "row", "slot"])
+        pa.default_memory_pool().release_unused()
 
     @F.arrow_udf(shape)
     def fill(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -472,6 +476,7 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
                 planes = [np.frombuffer(open_(x), np.uint8).reshape(4, -1) for x in codes.slice(lo, ROWS).to_pylist()]
                 ids = table.value.fill([np.ascontiguousarray(p.T).view(np.int32).reshape(-1) for p in planes], found.slice(lo, ROWS))
                 yield finish(ids, *[x.slice(lo, ROWS) for x in more])
+        pa.default_memory_pool().release_unused()
 
     # rows are dealt by number, so that no text or copy of it crowds a task; both branches below read this one exchange
     dealt = (
