@@ -485,11 +485,12 @@ def _encoded(docs: DataFrame, model: Model, frequent: int, keep: list[str], aske
     )
     # one exchange by unit serves short and long units and the join back: places are asked for in all of them, and lengths
     # are aggregated, or columns and filters would be pushed below the exchange and it would be made again
-    wanted = dealt.mapInArrow(unpack, "unit string not null, row long not null, slot int not null").repartition("unit").select("unit", F.struct("row", "slot").alias("place"))
-    first = wanted.groupBy("unit").agg(F.min("place").alias("first"), F.max(F.length("unit")).alias("n"))
+    wanted = dealt.mapInArrow(unpack, "unit string not null, row long not null, slot int not null").repartition("unit")
+    first = wanted.groupBy("unit").agg(F.min("row").alias("first"), F.min("slot").alias("least"), F.max(F.length("unit")).alias("n"))
     ids = F.array_join(F.transform("ids", lambda i: _packed(i, width)), "").alias("packed")
-    coded = encode_units(first, model, F.when(F.col("first").isNotNull(), F.col("n"))).select(F.col("unit").alias("own"), "first", ids)
-    placed = wanted.join(coded, (F.col("unit") == F.col("own")) & (F.col("first") <= F.col("place"))).select("place.row", "place.slot", "packed")
+    coded = encode_units(first, model, F.when(F.col("first").isNotNull() & F.col("least").isNotNull(), F.col("n"))).select(F.col("unit").alias("own"), "first", "least", ids)
+    own = (F.col("unit") == F.col("own")) & (F.col("first") <= F.col("row")) & (F.col("least") <= F.col("slot"))
+    placed = wanted.join(coded, own).select("row", "slot", "packed")
     entry = F.unhex(F.concat(_packed(F.col("slot"), 4), "packed"))
     found = placed.select(F.col("row").alias("__row"), entry.alias("entry")).groupBy("__row").agg(F.collect_list("entry").alias("__found"))
     # all columns are asked for, or the exchange would be pruned and made twice
