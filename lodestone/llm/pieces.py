@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, slices, text_of
+from .common import let, materialise, partitions, slices, text_of
 
 SEPARATOR = "▁"
 #: Frequent units whose encodings are broadcast, their characters at most, and the share of rows that they are chosen from.
@@ -195,15 +195,20 @@ def _bits(b: Column, n: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("getbit", b, i) == 1)
 
 
-def _lattice(units: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``units`` and e: the edges of short units of a byte-pair model, best first. An edge is one long: rank, place, length, id."""
-    # bounded by the model file, whatever the corpus holds; the empty piece, first in order, keeps units that match nothing else
-    table = units.sparkSession.createDataFrame([("", -1 << 40), *((p, model.ranks[p] << 32 | i) for p, i, _ in model.pieces)], "piece string, code long")
+def _substrings(units: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``units``, s, k, piece: every substring of at most a piece's length, and an empty one at each unit's end."""
     n = F.length("unit")
     own = units.columns
     begun = units.select(*own, F.explode(F.sequence(F.lit(0), n)).alias("s"))
     size = F.explode(F.when(F.col("s") < n, F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("s")))).otherwise(F.array(F.lit(0)))).alias("k")
-    parts = begun.select(*own, "s", size).select(*own, "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    return begun.select(*own, "s", size).select(*own, "s", "k", F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+
+
+def _lattice(units: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``units`` and e: the edges of short units of a byte-pair model, best first. An edge is one long: rank, place, length, id."""
+    # bounded by the model file, whatever the corpus holds; the empty piece, first in order, keeps units that match nothing else
+    table = units.sparkSession.createDataFrame([("", -1 << 40), *((p, model.ranks[p] << 32 | i) for p, i, _ in model.pieces)], "piece string, code long")
+    own, parts = units.columns, _substrings(units, model)
     place = F.shiftleft(F.col("s").cast("long"), 26).bitwiseOR(F.shiftleft(F.col("k").cast("long"), 20))
     edges = parts.join(F.broadcast(table), "piece").select(*own, F.col("code").bitwiseOR(place).alias("edge"))
     return edges.groupBy(*own).agg(F.sort_array(F.collect_list("edge")).alias("e"))
@@ -313,8 +318,25 @@ def _path(best: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.ceil(n / BLOCK).cast("int")), begun, block, lambda acc: F.reverse(F.flatten(acc["out"])))
 
 
+def _short_best(units: DataFrame, model: Model) -> DataFrame:
+    """Short units of a unigram model. Their edges are grouped by the unit itself, so that only units move and no edge does."""
+    unknown, own = UNKNOWN - min((s for _, _, s in model.pieces), default=0.0), units.columns
+    table = units.sparkSession.createDataFrame([(p, i, -s) for p, i, s in model.pieces], "piece string, id int, cost double")
+    known = _substrings(units, model).filter("k > 0").join(F.broadcast(table), "piece", "left").filter("id is not null or k = 1")
+    edge = F.struct((F.col("s") + F.col("k")).alias("t"), F.coalesce("cost", F.lit(unknown)).alias("cost"), "k", F.coalesce("id", F.lit(-1)).alias("id"))
+    edges = known.select(*own, edge.alias("edge")).groupBy(*own).agg(F.collect_list("edge").alias("e"))
+    whole = lambda x: F.struct(x["cost"].alias("cost"), x["k"].alias("k"), x["id"].alias("id"), F.lit(-1).cast("long").alias("before"), F.when(x["id"] < 0, F.substring(F.col("unit"), x["t"], F.lit(1))).alias("raw"))
+    into = F.transform(F.sequence(F.lit(1), F.length("unit")), lambda t: F.transform(F.filter("e", lambda x: x["t"] == t), whole))
+    return edges.select(*own, _ids_of_path(F.array(into), model).alias("ids"))
+
+
+def _ids_of_path(blocks: Column, model: Model) -> Column:
+    one = lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_byte_ids(model, x["raw"]))
+    return F.flatten(F.transform(let(_viterbi(blocks, model.longest), lambda best: _path(best, F.size(best))), one))
+
+
 def _general(units: DataFrame, model: Model) -> DataFrame:
-    """Units of any length, and those of unigram models, in time that grows in proportion to their length."""
+    """Units of any length, in time that grows in proportion to it."""
     if model.kind == "bpe" and 2 * model.longest > MASK:
         raise ValueError(f"a piece of a byte-pair model has more than {MASK // 2} characters")
     # distinct rows and edges as they are: an exchange of all columns, which every branch below reads; keys are never null,
@@ -326,9 +348,7 @@ def _general(units: DataFrame, model: Model) -> DataFrame:
     into = edges.groupBy("key", "t").agg(F.collect_list(F.struct("cost", "k", "id", "before", raw)).alias("edges"))
     blocks = into.groupBy("key", F.floor((F.col("t") - 1) / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct("t", "edges"))).alias("x"))
     lattice = blocks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("b", F.col("x.edges").alias("x")))).alias("blocks"))
-    one = lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_byte_ids(model, x["raw"]))
-    path = let(_viterbi(F.col("blocks.x"), model.longest), lambda best: _path(best, F.size(best)))
-    return keyed.join(lattice.select("key", F.flatten(F.transform(path, one)).alias("ids")), "key").select(*units.columns, "ids")
+    return keyed.join(lattice.select("key", _ids_of_path(F.col("blocks.x"), model).alias("ids")), "key").select(*units.columns, "ids")
 
 
 def encode_units(units: DataFrame, model: Model, n: Column | None = None) -> DataFrame:
@@ -336,10 +356,10 @@ def encode_units(units: DataFrame, model: Model, n: Column | None = None) -> Dat
 
     ``n`` is the length of a unit, if the table knows it already.
     """
-    if model.kind != "bpe" or len(model.texts()) > 1 << 20:
+    if model.kind == "bpe" and len(model.texts()) > 1 << 20:
         return _general(units, model)
-    short = (F.length("unit") if n is None else n) <= MASK
-    return _short(units.filter(short), model).unionByName(_general(units.filter(~short), model))
+    short, fold = (F.length("unit") if n is None else n) <= MASK, _short if model.kind == "bpe" else _short_best
+    return fold(units.filter(short), model).unionByName(_general(units.filter(~short), model))
 
 
 def _units(text: str, model_prefix: bool, find) -> list[str]:
@@ -373,8 +393,10 @@ def _frequent(docs: DataFrame, model: Model, most: int) -> pa.Table:
     some = docs.select(text_of().alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(SHARE)) == 0)
     counts = some.mapInArrow(count, "unit string, n long").filter(F.length("unit") <= SHORT).groupBy("unit").agg(F.sum("n").alias("n"))
     often = materialise(counts.orderBy(F.desc("n"), "unit").limit(most))
-    # in order, so that most words of a text have small numbers
-    return encode_units(often.select("unit"), model).join(often, "unit").orderBy(F.desc("n"), "unit").select("unit", "ids").toArrow()
+    # dealt first: the one file of often would be one task, which would sort all edges; in order, so that most words of a text
+    # have small numbers
+    dealt = often.select("unit").repartition(partitions(docs.sparkSession), "unit")
+    return encode_units(dealt, model).join(often, "unit").orderBy(F.desc("n"), "unit").select("unit", "ids").toArrow()
 
 
 class Known:

@@ -565,6 +565,26 @@ def test_viterbi_of_a_unigram_model(spark):
         assert abs(cost(r["ids"]) - best[-1]) < 1e-9, t
 
 
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_unigram_edges_of_short_units_stay_in_place(spark, model):
+    rng = random.Random(17)
+    units = sorted({"▁" + "".join(rng.choice("etaoinshré日🙂") for _ in range(rng.randint(1, 20))) for _ in range(500)})
+    uni, table = pieces.as_unigram(model), spark.createDataFrame([(u,) for u in units], "unit string")
+    before = shuffled(spark)
+    got = {r["unit"]: list(r["ids"]) for r in pieces.encode_units(table.repartition(3, "unit"), uni).collect()}
+    assert shuffled(spark) - before <= 2 * len(units)
+    assert got == {r["unit"]: list(r["ids"]) for r in pieces._general(table, uni).collect()}
+    long = spark.createDataFrame([("▁" + "ab日" * 40,), ("▁ab",)], "unit string")
+    assert {r["unit"]: list(r["ids"]) for r in pieces.encode_units(long, uni).collect()} == {r["unit"]: list(r["ids"]) for r in pieces._general(long, uni).collect()}
+
+
 def test_sharding(docs, empty):
     data = corpus()
     got = sharding.shard_documents(odd(docs)).collect()
