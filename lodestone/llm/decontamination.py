@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,23 @@ LEAST_WORDS, ANSWER = 8, 4
 #: Words of the items that are searched at once; a larger benchmark is searched in parts. Pieces of items in a product.
 PART_WORDS, PIECES = 500_000, 2048
 ROWS = 256  # of a partial matrix that travel together
+#: All ASCII bytes; bytes with the ASCII ones that are neither letters nor digits as spaces.
+ASCII, PLAIN = bytes(range(128)), bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def raw_tokens(text: str) -> list[bytes]:
+    """The same words in UTF-8, split at ASCII bytes alone where all other characters are parts of words."""
+    raw = text.lower().encode()
+    other = raw.translate(None, ASCII)
+    if other and not WORD.fullmatch(other.decode()):
+        return [w.encode() for w in tokens(text)]
+    return raw.translate(PLAIN).split()
+
+
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> list[int]:
     """Lengths of the longest common subsequence of an item with each prefix of ``words``; masks: places in the item."""
     full, row, out = (1 << size) - 1, (1 << size) - 1, []
@@ -119,14 +131,15 @@ class Item:
 
 def _hits(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """Each row's words that the benchmark has too: places and word numbers, packed."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): k for w, k in vocabulary.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for batch in slices(batches):
             places, ids, sizes = [], [], []
             for t in batch.column(1).to_pylist():
-                own = np.array([get(w, -1) for w in tokens(t)], dtype=np.int32)
+                words = raw_tokens(t)
+                own = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
                 at = np.flatnonzero(own >= 0).astype(np.int32)
                 places.append(at.tobytes())
                 ids.append(own[at].tobytes())
@@ -160,12 +173,12 @@ class Batch:
         return cls(sizes, flat, np.concatenate([*ids, np.zeros(0, np.int32)]), row, first[row] + flat // width, first, int(first[-1]))
 
 
-def _sums(block: np.ndarray, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray, blocks: int) -> np.ndarray:
-    """The sum of weighted vectors in each block."""
+def _sums(block: np.ndarray, vectors: np.ndarray, ids: np.ndarray, blocks: int) -> np.ndarray:
+    """The sum of vectors in each block."""
     out = np.zeros((blocks, vectors.shape[1]), dtype=vectors.dtype)
     if len(block):
         starts = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[starts]] = np.add.reduceat(vectors[ids] * weight[ids].astype(vectors.dtype)[:, None], starts, axis=0)
+        out[block[starts]] = np.add.reduceat(vectors[ids], starts, axis=0)
     return out
 
 
@@ -353,53 +366,56 @@ def _latent(hits: DataFrame, items: list[Item], words: int, cosine: float, copy:
     member = member if len(member) else np.array([-1])
 
     def projected(vectors: np.ndarray) -> np.ndarray:
-        return _sums(piece, vectors, own, weight, len(pieces))
+        return _sums(piece, vectors * weight[:, None], own, len(pieces))
 
     # the range of A'A, from one pass; the items' pieces count as passages too
     rank = min(RANK + EXTRA, words)
     random = np.random.default_rng(3).standard_normal((words, rank))
-    held = spark.sparkContext.broadcast((telling, weight, random))
+    # vectors travel with their weights; a sketch only finds the range, so half the width will do
+    held = spark.sparkContext.broadcast((telling, (random * weight[:, None]).astype(np.float32)))
 
     def sketch(batch: pa.RecordBatch) -> np.ndarray:
-        telling, weight, random = held.value
+        telling, random = held.value
         b = Batch.of(batch, BLOCK)
         keep = telling[b.ids]
         block, ids = b.block[keep], b.ids[keep]
-        y = _passages(_sums(block, random, ids, weight, b.blocks))
-        t = y + np.concatenate((np.zeros((1, y.shape[1])), y[:-1]))
+        y = _passages(_sums(block, random, ids, b.blocks))
+        t = y + np.concatenate((np.zeros_like(y[:1]), y[:-1]))
         order = np.argsort(ids, kind="stable")
-        return _sums(ids[order], t, block[order], np.ones(b.blocks), len(weight)) * weight[:, None]
+        return _sums(ids[order], t, block[order], len(telling))
 
     order = np.argsort(own, kind="stable")
-    back = _sums(own[order], projected(random), piece[order], np.ones(len(pieces)), words) * weight[:, None]
-    z = _total(hits, sketch, random.shape) + back
+    back = _sums(own[order], projected(random), piece[order], words)
+    z = (_total(hits, sketch, random.shape) + back) * weight[:, None]
     basis = np.linalg.qr(z)[0]
-    based = spark.sparkContext.broadcast(basis)
+    based = spark.sparkContext.broadcast((telling, basis * weight[:, None]))
 
     def gram(batch: pa.RecordBatch) -> np.ndarray:
-        telling, weight, _ = held.value
+        telling, basis = based.value
         b = Batch.of(batch, BLOCK)
         keep = telling[b.ids]
-        y = _passages(_sums(b.block[keep], based.value, b.ids[keep], weight, b.blocks))
+        y = _passages(_sums(b.block[keep], basis, b.ids[keep], b.blocks))
         return y.T @ y
 
     g = _total(hits, gram, (rank, rank)) + projected(basis).T @ projected(basis)
     latent = basis @ np.linalg.eigh(g)[1][:, ::-1][:, : min(RANK, rank)]
     targets = _unit(projected(latent))
-    space = spark.sparkContext.broadcast((telling, weight, latent.astype(np.float32), targets, owner, member, items))
+    space = spark.sparkContext.broadcast((telling, (latent * weight[:, None]).astype(np.float32), targets, owner, member, items))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        telling, weight, latent, targets, owner, member, items = space.value
+        telling, latent, targets, owner, member, items = space.value
         for batch in slices(batches, 256):
             b, out = Batch.of(batch, BLOCK), []
             keep = telling[b.ids]
             block, ids = b.block[keep], b.ids[keep]
-            alone = _sums(block, latent, ids, weight, b.blocks)
+            alone = _sums(block, latent, ids, b.blocks)
             both = _passages(alone)
-            live = np.flatnonzero(np.abs(both).sum(axis=1) > 0)
+            # a passage shares no more telling words with an item than it holds
+            told = np.searchsorted(block, np.arange(b.blocks + 2))
+            live = np.flatnonzero(told[2:] - told[:-2] >= LEAST_SHARED)
             p, k, near = _near(_unit(alone[live]), _unit(both[live]), targets, cosine)
             p, k = live[p], owner[k]
-            shared = _shared(p, k, np.searchsorted(block, np.arange(b.blocks + 2)), ids, member, words)
+            shared = _shared(p, k, told, ids, member, words)
             p, k, near = (x[shared >= LEAST_SHARED] for x in (p, k, near))
             row = np.searchsorted(b.first, p, side="right") - 1
             ends = np.searchsorted(b.row, np.arange(len(b.sizes) + 1))

@@ -329,6 +329,13 @@ def plain_verify(item, text, copy, paraphrase):
     return (best / n, "copy" if best >= copy * n else "paraphrase") if best else None
 
 
+def test_words_split_at_bytes():
+    rng = random.Random(19)
+    parts = ["Ab", "é", "É", "ß", "Σ", "ς", "İ", "ǅ", "½", "٣", "日本", "🙂", "e\u0301", "\u00ad", "\u200d", "\u00a0", "\u2028", "_", "-", "'", " ", "\n", "\x00", "\x1c", "\x7f", "9"]
+    for text in ["", *parts, *("".join(rng.choices(parts, k=rng.randint(2, 30))) for _ in range(3000))]:
+        assert decontamination.raw_tokens(text) == [w.encode() for w in decontamination.tokens(text)], text
+
+
 def test_verify_finds_the_best_span():
     rng, kinds = random.Random(12), Counter()
     for k in range(1500):
