@@ -554,6 +554,14 @@ def test_rows_are_coded_once(docs, model):
     assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_frequent_units_are_dealt_before_their_lattices(spark, docs, model, monkeypatch):
+    seen, made = [], pieces.encode_units
+    monkeypatch.setattr(pieces, "SHARE", 1)
+    monkeypatch.setattr(pieces, "encode_units", lambda units, *more: seen.append(units) or made(units, *more))
+    assert len(pieces._frequent(docs, model, 400)) == 400
+    assert seen[0].rdd.getNumPartitions() == 4 and max(map(len, seen[0].rdd.glom().collect())) < 200
+
+
 def test_viterbi_of_a_unigram_model(spark):
     rng = random.Random(7)
     table = [("▁", -3.0), ("a", -2.0), ("b", -2.5), ("c", -2.2), ("▁a", -3.1), ("ab", -2.9), ("bc", -3.3), ("abc", -4.4), ("ca", -2.7), ("▁ab", -4.0)]
